@@ -48,7 +48,7 @@ node2vec, katz, muril, indicbert, paysim, amlsim, amlworld, elliptic bitcoin
 SECTION_PREFIXES = ["section ", "table ", "figure ", "page ", "annexure ", "article ", "clause ",
                     "item ", "draft ", "version ", "part ", "chapter "]
 LABEL_EDGE_PUNCTUATION = "•-*_~`#()[]{}|/\\:;,.\"'"
-NUMBERING_SHAPE = r"(?i)^(?:v?\d+(?:\.\d+)*|[A-Za-z]\d{1,3}|(?:\d+(?:st|nd|rd|th)))$"
+NUMBERING_SHAPE = r"(?i)^(?:v?\d+(?:\.\d+)*+|[A-Za-z]\d{1,3}|(?:\d+(?:st|nd|rd|th)))$"
 
 # --- fixed values: sentence and clause grammar ---------------------------------
 ABBREVIATIONS = ["mr", "mrs", "ms", "dr", "shri", "smt", "rs", "no", "vs", "v", "st", "prof"]
@@ -64,8 +64,9 @@ MONTH_DAY = (r"(?:january|february|march|april|may|june|july|august|september|oc
              r"december|monday|tuesday|wednesday|thursday|friday|saturday|sunday|today|yesterday|"
              r"morning|afternoon|evening|night|noon|midnight)")
 TIME_TOKEN = (r"(?:\d{1,4}(?:[-/.]\d{1,4}){0,2}|\d{1,2}:\d{2}(?::\d{2})?|am|pm|" + MONTH_DAY + r"|the|of)")
+# the look-ahead and the possessive repeat keep long runs of time words iterative
 TEMPORAL_PREFIX = (r"(?:on|at|during|in|before|after)\s+" + TIME_TOKEN + r"(?:\s+" + TIME_TOKEN
-                   + r")*\s*[,;:]?\s+")
+                   + r"(?=\s*[,;:]?\s))*+\s*[,;:]?\s+")
 DAY_PREFIX = (r"(?:today|yesterday|monday|tuesday|wednesday|thursday|friday|saturday|sunday)"
               r"\s*[,;:]\s+")
 SOURCE_NOUN = (r"(?:records?|call\s+(?:logs?|records?)|reports?|witness|complainant|investigator|"

@@ -161,19 +161,23 @@ def valid_entity(label: Column, kind: Column) -> Column:
     """Reject noise labels: list words, numbering shapes, malformed identifiers."""
     edge = "[" + "".join("\\" + c for c in V.LABEL_EDGE_PUNCTUATION) + "]"
     clean = F.regexp_replace(F.trim(label), f"^{edge}+|{edge}+$", "")
-    low = F.lower(clean)
-    digits = F.regexp_replace(clean, r"\D", "")
-    noise = low.isin(*V.STOPWORDS, *V.BOILERPLATE)
-    prefixed = low.rlike("^(?:" + "|".join(V.SECTION_PREFIXES) + ")")
-    named = (F.length(clean) >= 2) & ~noise & ~prefixed & ~clean.rlike(V.NUMBERING_SHAPE)
-    verdict = (F.when(kind == "IMEI", (F.length(digits) == 15) & luhn_ok(digits))
-               .when(kind == "Phone", normalize_phone(clean).isNotNull())
-               .when(kind == "Vehicle", normalize_vehicle(clean).isNotNull())
-               .when(kind == "UPI", normalize_upi(clean).isNotNull())
-               .when(kind == "Account", (F.length(digits) >= 4)
-                     | ((F.length(clean) >= 4) & clean.rlike(r"\d")))
-               .when(kind == "Person", named & clean.rlike("[A-Za-z]") & ~clean.rlike(r"\d")
-                     & (F.length(clean) <= 80))
-               .when(kind == "Organization", named & (F.length(clean) <= 100))
-               .otherwise(named))
-    return F.coalesce((clean != "") & verdict, F.lit(False))
+
+    def judge(text):
+        low = F.lower(text)
+        digits = F.regexp_replace(text, r"\D", "")
+        noise = low.isin(*V.STOPWORDS, *V.BOILERPLATE)
+        prefixed = low.rlike("^(?:" + "|".join(V.SECTION_PREFIXES) + ")")
+        named = (F.length(text) >= 2) & ~noise & ~prefixed & ~text.rlike(V.NUMBERING_SHAPE)
+        verdict = (F.when(kind == "IMEI", (F.length(digits) == 15) & luhn_ok(digits))
+                   .when(kind == "Phone", normalize_phone(text).isNotNull())
+                   .when(kind == "Vehicle", normalize_vehicle(text).isNotNull())
+                   .when(kind == "UPI", normalize_upi(text).isNotNull())
+                   .when(kind == "Account", (F.length(digits) >= 4)
+                         | ((F.length(text) >= 4) & text.rlike(r"\d")))
+                   .when(kind == "Person", named & text.rlike("[A-Za-z]") & ~text.rlike(r"\d")
+                         & (F.length(text) <= 80))
+                   .when(kind == "Organization", named & (F.length(text) <= 100))
+                   .otherwise(named))
+        return F.coalesce((text != "") & verdict, F.lit(False))
+
+    return F.element_at(F.transform(F.array(clean), judge), 1)

@@ -50,7 +50,7 @@ def extract_identifiers(units: DataFrame, patterns=None) -> tuple[DataFrame, Dat
     return entities_of_mentions(mentions), mentions
 
 
-TOKEN = r"[^\s.,;:!?()\[\]\"]+(?:\.(?=\S)[^\s.,;:!?()\[\]\"]+)*"
+TOKEN = r"[^\s.,;:!?()\[\]\"]++(?:\.(?=\S)[^\s.,;:!?()\[\]\"]++)*+"
 
 
 def tag_gazetteer(units: DataFrame, names: DataFrame, max_words: int = 3) -> tuple[DataFrame, DataFrame]:
