@@ -214,7 +214,7 @@ def _(s):
     return W.expand_neighbors(sents, crossed, ["l_orderkey"])
 
 
-@query("w12_top_neighbors", """select case_id, id, neighbor, r rank from (select *, row_number() over (partition by case_id, id
+@query("w12_top_neighbors", """select case_id, id, neighbor, cast(r as integer) rank from (select *, row_number() over (partition by case_id, id
 order by q, neighbor) r from (select case_id, id, neighbor, min(seq) q from ends group by 1, 2, 3)) where r <= 4""")
 def _(s):
     return W.top_neighbors(A.neighbor_pairs(s.edges(), "seq")).drop("seq")

@@ -44,7 +44,7 @@ def _(s):
   when kind = 'Person' then length(name) >= 2 and name not in ('the', 'witness') and not regexp_matches(name, '[0-9]')
   when kind = 'Location' then length(name) >= 2 and name not in ('the', 'witness')
     and not regexp_full_match(name, 'v?[0-9]+|[A-Za-z][0-9]{1,3}') and not starts_with(lower(name), 'section ')
-  else length(regexp_replace(name, '[^0-9]', '', 'g')) >= 4 end ok
+  else length(regexp_replace(name, '[^0-9]', '', 'g')) >= 4 or (length(name) >= 4 and regexp_matches(name, '[0-9]')) end ok
 from (select case c_custkey % 7 when 0 then c_name when 1 then 'the' when 2 then 'witness' when 3 then 'v' || c_custkey
    when 4 then 'Section ' || c_custkey when 5 then c_mktsegment else cast(c_custkey as varchar) end name,
    case c_custkey % 3 when 0 then 'Person' when 1 then 'Location' else 'Account' end kind from customer) t""")
