@@ -93,7 +93,7 @@ def registry_headers(units: DataFrame, schemas: dict[str, dict[str, str]] | None
                      required: dict[str, str] | None = None) -> DataFrame:
     """One schema in force per document; the first matching schema in declared order wins."""
     schemas, required = schemas or V.REGISTRY_ALIASES, required or V.REGISTRY_REQUIRED
-    any_required = " ".join(sorted({a for s, rs in required.items() for r in rs.split()
+    any_required = " ".join(sorted({a for s in schemas for r in required[s].split()
                                     for a in schemas[s][r].split()}))
 
     def build(names):
