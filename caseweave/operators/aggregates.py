@@ -118,7 +118,8 @@ def report_counts(sightings: DataFrame, mentions: DataFrame, edges: DataFrame) -
 
 def supporting_sources(edges: DataFrame) -> DataFrame:
     """Distinct (case_id, id, source_ref) over the edges touching each entity."""
-    ref = first_truthy(F.col("report_id"), F.col("document_id"), F.lit("Record")).alias("source_ref")
+    known = [F.col(c) for c in ("report_id", "document_id") if c in edges.columns]
+    ref = first_truthy(*known, F.lit("Record")).alias("source_ref")
     return edges.select("case_id", F.explode(F.array_distinct(F.array("source", "target"))).alias("id"), ref).distinct()
 
 

@@ -155,7 +155,7 @@ def _layered_betweenness(sources: DataFrame, links: DataFrame) -> DataFrame:
     deeper = layers[-1].withColumn("credit", F.lit(0.0))
     parts = [deeper]
     for layer in reversed(layers[:-1]):
-        back = edges.withColumnsRenamed({"v": "w", "w": "v"})
+        back = edges.select("case_id", F.col("v").alias("w"), F.col("w").alias("v"))
         given = (deeper.withColumnRenamed("v", "w").withColumn("each", (1.0 + F.col("credit")) / F.col("paths"))
                  .select("case_id", "s", "w", "each").join(back, ["case_id", "w"])
                  .groupBy("case_id", "s", "v").agg(F.sum("each").alias("each")))

@@ -25,8 +25,8 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFram
     rest = [c for c in current.columns if c not in (*keys, "created_at")]
     both = (current.withColumn("__new", F.lit(0))
             .unionByName(incoming.withColumn("__new", F.lit(1)), allowMissingColumns=True))
-    order = F.struct("__new", *(["updated_at"] if "updated_at" in rest else []), F.hash(*rest))
-    merged = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__r"),
+    order = F.struct("__new", *(["updated_at"] if "updated_at" in rest else []), F.hash(*keys, *rest))
+    merged = both.groupBy(*keys).agg(F.max_by(F.struct("__new", *rest), order).alias("__r"),
                                      F.min("created_at").alias("created_at"))
     return merged.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest], "created_at").select(*current.columns)
 

@@ -122,7 +122,17 @@ def _(s):
     return linked.select("case_id", "id", F.lit(True).alias("connected")).union(alone.select("case_id", "id", F.lit(False)))
 
 
-@query("t1_rank_centrality", None)
+def _ranking_sql() -> str:
+    head, tail = _pagerank_sql().rsplit("select case_id, id, round(r, 9) pagerank", 1)
+    return (head.rstrip() + ", vn as (select * from tn), va as (select * from ta)" + _distances(8) + ", bt as (" + PAIR_SUM
+            + f""") select vn.case_id, vn.id, (select count(*) from ta where ta.case_id = vn.case_id and ta.id = vn.id)
+              + 2 * (select count(*) from tr where tr.case_id = vn.case_id and a = b and a = vn.id) connections,
+            round(((select count(*) from ta where ta.case_id = vn.case_id and ta.id = vn.id) + 2 * (select count(*) from tr
+              where tr.case_id = vn.case_id and a = b and a = vn.id)) / (n - 1), 3) degree,
+            round(betweenness, 3) betweenness, round(r, 3) pagerank from vn join bt using (case_id, id) join r{PR_STEPS} using (case_id, id)""")
+
+
+@query("t1_rank_centrality", _ranking_sql())
 def _(s):
     nodes, pairs = trade(s)
     return T.rank_centrality(G.centralities(nodes, pairs, tol=None, max_iter=PR_STEPS))
@@ -144,15 +154,6 @@ def _(s):
     return L.leads_cross_domain(s.entities(), s.edges()).select("case_id", "entity_id", "reason")
 
 
-@query("l2_bridge", ", vn as (select case_id, id from ent), va as (select case_id, id, neighbor nb from adj)" + _distances(5)
-       + ", bt as (" + PAIR_SUM + """) select case_id, id entity_id, concat('Potential network bridge: ', label) title, sources
-from bt join ent using (case_id, id) join srcs using (case_id, id) where betweenness >= 0.12""")
-def _(s):
-    nodes, edges = s.entities(), s.edges()
-    scores = G.betweenness(*G.build_graph(nodes, edges))
-    return L.leads_bridge(nodes, edges, scores).select("case_id", "entity_id", "title", "sources")
-
-
 def trade_edges(s):
     """Trade links with a report per customer segment, and their nodes."""
     edges = s.sql("""select distinct o_orderstatus case_id, concat('n', cast(c_nationkey as string)) source,
@@ -163,6 +164,18 @@ def trade_edges(s):
     return nodes, edges
 
 
+@query("l2_bridge", TRADE_SQL + ", vn as (select * from tn), va as (select * from ta)" + _distances(8) + ", bt as (" + PAIR_SUM + """),
+te as (select distinct o_orderstatus case_id, concat('n', c_nationkey) x, concat('n', s_nationkey) y, c_mktsegment report_id
+  from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey
+  where l_quantity = 7 and l_linenumber = 3)
+select bt.case_id, id entity_id, concat('Potential network bridge: ', upper(id)) title, count(distinct report_id) sources
+from bt join te on te.case_id = bt.case_id and id in (x, y) where betweenness >= 0.12 group by 1, 2, 3""")
+def _(s):
+    nodes, edges = trade_edges(s)
+    scores = G.betweenness(*G.build_graph(nodes, edges))
+    return L.leads_bridge(nodes, edges, scores).select("case_id", "entity_id", "title", "sources")
+
+
 @query("l3_shared", TRADE_SQL + """, te as (select distinct o_orderstatus case_id, concat('n', c_nationkey) x, concat('n', s_nationkey) y, c_mktsegment report_id
   from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey
   where l_quantity = 7 and l_linenumber = 3),
@@ -400,10 +413,11 @@ def _(s):
     return count("edges").union(count("nodes"))
 
 
-@query("s11_original", "select document_id, filename from docs where case_id = 7 and document_id = 'D42' union all select document_id, filename from docs where case_id = 12 and document_id = 'D42'")
+@query("s11_original", "select case_id, document_id, filename from docs where document_id = 'D42'")
 def _(s):
     docs = s.documents()
-    return original(docs, 7, "D42").union(original(docs, 12, "D42")).select("document_id", "filename")
+    owner = docs.filter("document_id = 'D42'").select("case_id").first()
+    return original(docs, owner[0] if owner else None, "D42").select("case_id", "document_id", "filename")
 
 
 @query("s12_purge_case", """select 'documents' table_name, count(*) removed from docs where case_id = 7 union all select 'entities', count(*) from ent where case_id = 7 union all
