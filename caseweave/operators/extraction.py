@@ -13,28 +13,34 @@ UNIT = ["case_id", "doc_id", "unit_index"]
 
 
 def _mention_columns(found: DataFrame, method: str) -> DataFrame:
-    """Add ids and snippet to (UNIT, text, type, start, end, label) and drop invalid labels."""
-    return (found.filter(valid_entity(F.col("label"), F.col("type")))
-            .withColumn("normalized_value", normalized(nfkc(F.col("label")) if method != "identifier-rule"
-                                                       else F.col("label"), F.col("type")))
-            .select(*UNIT, entity_id_from_value(F.col("normalized_value"), F.col("type"),
-                                                F.concat(F.lit("case:"), F.col("case_id"))).alias("entity_id"),
-                    "label", "type", F.lit(method).alias("method"), "start", "end", "normalized_value",
-                    F.greatest(F.col("start") - 100, F.lit(0)).alias("snippet_start"),
-                    snippet(F.col("text"), F.col("start"), F.col("end")).alias("snippet")))
+    """Add ids and snippet to (UNIT, text, type, start, end, label, normalized_value)."""
+    return found.select(
+        *UNIT, entity_id_from_value(F.col("normalized_value"), F.col("type"),
+                                    F.concat(F.lit("case:"), F.col("case_id"))).alias("entity_id"),
+        "label", "type", F.lit(method).alias("method"), "start", "end", "normalized_value",
+        F.greatest(F.col("start") - 100, F.lit(0)).alias("snippet_start"),
+        snippet(F.col("text"), F.col("start"), F.col("end")).alias("snippet"))
 
 
 def identifier_mentions(units: DataFrame, patterns=None) -> DataFrame:
-    """Identifier spans of every text unit; one narrow pass, no shuffle."""
+    """Identifier spans of every text unit; one narrow pass, no shuffle.
+
+    Validity and normal form are taken per pattern, where the kind is a literal,
+    so each kind evaluates only its own rules.
+    """
     patterns = patterns or V.IDENTIFIER_PATTERNS
 
-    def typed(kind, pattern, group):
-        return F.transform(find_spans(F.col("text"), rule_regex(pattern), group), lambda s: F.struct(
-            F.lit(kind).alias("type"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("label")))
+    def typed(name, pattern, group):
+        kind = F.lit(name)
+        spans = find_spans(F.col("text"), rule_regex(pattern), group)
+        valid = F.filter(spans, lambda s: valid_entity(s["value"], kind))
+        return F.transform(valid, lambda s: F.struct(
+            kind.alias("type"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("label"),
+            normalized(s["value"], kind).alias("normalized_value")))
 
     found = F.concat(*[typed(*p) for p in patterns])
-    spans = units.select(*UNIT, "text", F.explode(found).alias("s")).select(*UNIT, "text", "s.*")
-    return _mention_columns(spans, "identifier-rule")
+    return _mention_columns(units.select(*UNIT, "text", F.explode(found).alias("s")).select(*UNIT, "text", "s.*"),
+                            "identifier-rule")
 
 
 def entities_of_mentions(mentions: DataFrame) -> DataFrame:
@@ -74,8 +80,10 @@ def tag_gazetteer(units: DataFrame, names: DataFrame, max_words: int = 3) -> tup
               .rowsBetween(Window.unboundedPreceding, -1))
     outer = (hits.withColumn("covered", F.coalesce(F.max("end").over(before) >= F.col("end"), F.lit(False)))
              .filter(~F.col("covered")))
-    mentions = _mention_columns(outer.join(units.select("doc_id", "unit_index", "text"), ["doc_id", "unit_index"]),
-                                "gazetteer")
+    valid = (outer.filter(valid_entity(F.col("label"), F.col("type")))
+             .withColumn("normalized_value", normalized(nfkc(F.col("label")), F.col("type")))
+             .join(units.select("doc_id", "unit_index", "text"), ["doc_id", "unit_index"]))
+    mentions = _mention_columns(valid, "gazetteer")
     return entities_of_mentions(mentions), mentions
 
 

@@ -7,27 +7,39 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CONF = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The session's checkpoint folder.  Only a local session may fall back to a temporary one."""
     root = spark.conf.get(CONF, None) or spark.sparkContext.getConf().get(CONF, None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"{CONF} is not set; iterative jobs need a shared folder")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(CONF, root)
-    return root
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{CONF} is not set; iterative jobs need a shared folder")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialize and forget the plan behind a DataFrame."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared root, for streams and written tables."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for heavy text work on an input with fewer splits than cores.
+
+    Inputs with enough splits, as any large table has, pass through without a shuffle.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

@@ -1,11 +1,11 @@
 """Entities, edges, documents and units derived from the star-schema tables."""
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.iteration import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
@@ -50,13 +50,13 @@ class Source:
 
     def texts(self) -> DataFrame:
         """The documents table as text units; its source is the case."""
-        return self.table("documents").select(
+        return spread(self.table("documents")).select(
             F.col("source").alias("case_id"), F.col("doc_id").cast("string").alias("doc_id"),
             F.lit(0).cast("bigint").alias("unit_index"), F.lit("text").alias("kind"), "text")
 
     def narratives(self) -> DataFrame:
         """Orders told as sentences: text units for the extraction operators."""
-        return self.sql(NARRATIVES_SQL)
+        return spread(self.sql(NARRATIVES_SQL))
 
 
 # The same text runs on both engines; {t} names a table in Spark, t in the oracle.
