@@ -17,6 +17,7 @@ from .iteration import cut
 
 EDGES_PER_SALT = 100_000
 DENSE_NODES = 2_000
+ROUND_ROWS = 2_000_000_000
 
 
 def build_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -111,12 +112,12 @@ def _dense_betweenness(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def betweenness(nodes: DataFrame, pairs: DataFrame, dense_nodes: int = DENSE_NODES,
-                source_rounds: int = 1) -> DataFrame:
+                source_rounds: int | None = None) -> DataFrame:
     """Normalized shortest-path betweenness, endpoints excluded.
 
     A case with at most ``dense_nodes`` nodes is one bounded task; larger cases
     run level-synchronously over distributed (source, node) tables, their sources
-    split in ``source_rounds`` rounds to bound the table.
+    split in rounds so that one round holds about ROUND_ROWS rows.
     """
     sizes = nodes.groupBy("case_id").agg(F.count("*").alias("n"))
     proper = pairs.filter("a <> b").join(sizes, "case_id")
@@ -126,7 +127,10 @@ def betweenness(nodes: DataFrame, pairs: DataFrame, dense_nodes: int = DENSE_NOD
         _dense_betweenness, f"case_id {case_type}, id string, raw double")
     large_nodes = cut(nodes.select("case_id", "id").join(
         sizes.filter(F.col("n") > dense_nodes), "case_id", "left_semi"))
-    if large_nodes.limit(1).count():
+    volume = large_nodes.groupBy("case_id").agg(F.count("*").cast("double").alias("n")).agg(
+        F.sum(F.col("n") * F.col("n"))).first()[0]
+    if volume:
+        source_rounds = source_rounds or int(-(-volume // ROUND_ROWS))
         links = cut(both_directions(proper.filter(F.col("n") > dense_nodes)).select("case_id", "id", "neighbor"))
         raw = raw.unionByName(reduce(lambda a, b: a.unionByName(b), [
             _layered_betweenness(large_nodes.filter(F.pmod(F.hash("id"), F.lit(source_rounds)) == r), links)

@@ -55,7 +55,10 @@ def document_detail(docs: DataFrame, reports: DataFrame, sightings: DataFrame, m
     items = reduce(lambda a, b: a.unionByName(b), parts)
     head = docs.join(reports.select("case_id", "report_id", F.col("status").alias("report_status")),
                      ["case_id", "report_id"], "left")
-    return head.join(items, ["case_id", "report_id"], "left")
+    # an inner join can split a report that owns most findings; a left join could not
+    found = items.join(head, ["case_id", "report_id"])
+    bare = head.join(items.select("case_id", "report_id").distinct(), ["case_id", "report_id"], "left_anti")
+    return found.unionByName(bare, allowMissingColumns=True)
 
 
 def entities_of_report(sightings: DataFrame, report_id: str) -> DataFrame:

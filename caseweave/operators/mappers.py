@@ -113,8 +113,8 @@ def _scope(df: DataFrame) -> Column:
     return F.concat(F.lit("case:"), F.col("case_id"))
 
 
-def _with_id(df: DataFrame, label: str, kind: str, out: str) -> DataFrame:
-    value = normalized(nfkc(F.col(label)), F.col(kind))
+def _with_id(df: DataFrame, label: str, kind: str, out: str, ascii_only: bool = False) -> DataFrame:
+    value = normalized(F.col(label) if ascii_only else nfkc(F.col(label)), F.col(kind))
     return df.withColumn(out + "_value", value).withColumn(
         out, entity_id_from_value(F.col(out + "_value"), F.col(kind), _scope(df)))
 
@@ -146,9 +146,10 @@ def map_calls(units: DataFrame, aliases: dict[str, str] | None = None) -> dict[s
         *[x for r in details for x in (F.lit(r), value(r))],
         F.lit("durationRaw"), F.when(seconds.isNull(), duration)))
     text = row_text(F.col("cells"))
+    # accepted numbers hold only ASCII digits and punctuation
     edges = (good.withColumn("kind_phone", F.lit("Phone"))
-             .transform(lambda d: _with_id(d, "caller", "kind_phone", "source"))
-             .transform(lambda d: _with_id(d, "receiver", "kind_phone", "target"))
+             .transform(lambda d: _with_id(d, "caller", "kind_phone", "source", ascii_only=True))
+             .transform(lambda d: _with_id(d, "receiver", "kind_phone", "target", ascii_only=True))
              .withColumn("evidence_text", text)
              .select(*KEYS, "unit_index", edge_id("call", F.col("table_group"), F.col("unit_index"),
                                                   F.col("evidence_text")).alias("id"),
@@ -164,7 +165,7 @@ def map_calls(units: DataFrame, aliases: dict[str, str] | None = None) -> dict[s
                 .select(*KEYS, "unit_index", "cells", "m.*")
                 .withColumn("span", column_span(F.col("cells"), F.col("column_number")))
                 .withColumn("type", F.lit("Phone"))
-                .transform(lambda d: _with_id(d, "label", "type", "entity_id"))
+                .transform(lambda d: _with_id(d, "label", "type", "entity_id", ascii_only=True))
                 .select(*KEYS, "unit_index", "entity_id", "entity_id_value", "label", "type", "role",
                         "column_number", F.col("span.start").alias("start"), F.col("span.end").alias("end"),
                         F.lit("structured-column").alias("method"), row_text(F.col("cells")).alias("snippet")))

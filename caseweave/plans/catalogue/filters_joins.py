@@ -218,7 +218,7 @@ def _(s):
 NARR_FORMS = """(select cast(o_orderkey as varchar) doc_id, o_orderkey % 7 form from orders)"""
 
 
-def narrative_pairs(s, rules=None):
+def narrative_pairs(s, rules):
     units = s.narratives()
     mentions = X.identifier_mentions(units)
     local = J.assign_sentences(mentions.drop("case_id"), X.sentence_rows(units))
@@ -228,10 +228,10 @@ def narrative_pairs(s, rules=None):
     return mention_pairs(grouped, rules)
 
 
-@query("j6_mention_pairs", """select doc_id, phone, account from (select cast(o_orderkey as varchar) doc_id,
-  cast(1 as bigint) phone, cast(1 as bigint) account from orders)""")
+@query("j6_mention_pairs", """select cast(o_orderkey as varchar) doc_id, cast(case when o_orderkey % 7 in (3, 6) then 0 else 1 end as bigint) phone,
+cast(1 as bigint) account from orders""")
 def _(s):
-    pairs = narrative_pairs(s)
+    pairs = narrative_pairs(s, compile_rules(_rules(s)))
     return pairs.groupBy("doc_id").agg(F.count_if(F.col("source.type") == "Phone").alias("phone"),
                                        F.count_if(F.col("source.type") == "Account").alias("account"))
 

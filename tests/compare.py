@@ -35,7 +35,7 @@ def duck(folder: str):
 
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    fix = lambda v: repr(round(v, 9)) if isinstance(v, float) else str(v)
+    fix = lambda v: repr(v) if isinstance(v, float) else str(v)
     return sorted(columns), sorted(tuple(fix(r[i]) for i in order) for r in rows)
 
 
