@@ -10,7 +10,7 @@ from ...operators import windows as W
 from ...operators.extraction import UNIT, sentence_rows
 from ...operators.leads import leads_hub
 from .filters_joins import SEGMENT_ALIAS, segment_groups
-from .registry import query
+from .registry import ORACLES, query
 
 # --- aggregates --------------------------------------------------------------------
 
@@ -228,6 +228,24 @@ def _(s):
     return packed.groupBy("doc_id", F.col("z.b").alias("batch")).agg(F.sum("z.c").alias("cost"), F.count("*").alias("passages"))
 
 
+PACK_SQL = """with recursive l as (select l_orderkey k, cast(l_quantity as bigint) c, row_number() over (partition by l_orderkey
+  order by cast(l_quantity as bigint)) i from lineitem),
+p as (select k, i, c, cast(0 as bigint) batch, c used from l where i = 1 union all
+  select l.k, l.i, l.c, case when used + l.c > 60 then batch + 1 else batch end, case when used + l.c > 60 then l.c else used + l.c end
+  from p join l on l.k = p.k and l.i = p.i + 1)
+select k l_orderkey, cast(batch as integer) batch, cast(sum(c) as bigint) cost, count(*) passages from p group by 1, 2"""
+
+
+@query("w13_pack_lines")
+def _(s):
+    """Order lines play passages, their quantities the sizes: greedy batches of at most 60."""
+    sized = s.table("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_quantity").cast("int"))).alias("c"))
+    packed = sized.withColumn("b", pack(F.col("c"), 60)).select("l_orderkey", F.explode(F.arrays_zip("c", "b")).alias("z"))
+    return packed.groupBy("l_orderkey", F.col("z.b").alias("batch")).agg(F.sum("z.c").alias("cost"), F.count("*").alias("passages"))
+
+
+ORACLES["w13_pack_lines"] = PACK_SQL  # stands alone: it recurses over the lines
+
 # --- rankings ----------------------------------------------------------------------
 
 

@@ -209,7 +209,23 @@ def _(s):
     return flt.leads_by_severity(L.leads_hub(A.connections(nodes, edges), edges), "High").select("case_id", "entity_id")
 
 
-@query("t3_first_leads")
+@query("t3_first_leads", TRADE_SQL + ", vn as (select * from tn), va as (select * from ta)" + _distances(8) + ", bt as (" + PAIR_SUM + """),
+te as (select distinct o_orderstatus case_id, concat('n', c_nationkey) x, concat('n', s_nationkey) y, c_mktsegment report_id
+  from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey
+  where l_quantity = 7 and l_linenumber = 3),
+sc as (select case_id, id, count(distinct report_id) sources from (select case_id, x id, report_id from te union all select case_id, y, report_id from te) group by 1, 2),
+dg as (select case_id, id, (select count(*) from ta where ta.case_id = tn.case_id and ta.id = tn.id)
+  + 2 * (select count(*) from tr where tr.case_id = tn.case_id and a = b and a = tn.id) d from tn),
+cn as (select x.case_id, x.a, x.b, min(y.nb) common from tr x join ta y on y.case_id = x.case_id and y.id = x.a
+  join ta z on z.case_id = x.case_id and z.id = x.b and z.nb = y.nb where x.a <> x.b group by 1, 2, 3),
+al as (select 1 g, 1 o, case_id, id entity_id, 'high' severity, concat('Cross-domain linkage: ', upper(id)) title,
+    'Entity links across three or more records/categories' "rule", sources from dg join sc using (case_id, id) where d >= 3 union all
+  select 1, 2, case_id, id, 'medium', concat('Potential network bridge: ', upper(id)), 'High betweenness centrality', sources
+    from bt join sc using (case_id, id) where betweenness >= 0.12 union all
+  select 2, 3, cn.case_id, concat(a, '|', b), 'medium', concat('Shared reported association: ', upper(a), ' and ', upper(b)),
+    'Common-neighbor pattern', count(distinct report_id) from cn join te on te.case_id = cn.case_id and
+    ((x in (a, b) and y = common) or (y in (a, b) and x = common)) group by cn.case_id, a, b, common)
+select case_id, entity_id, severity, title, "rule", sources from al order by g, case_id, entity_id, o limit 12""")
 def _(s):
     """The first twelve leads of the whole graph: the page size is the feature."""
     nodes, edges = trade_edges(s)
