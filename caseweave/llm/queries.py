@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import embedding_dedup, exact_dedup, line_dedup, mixing, packing, simhash, toxicity
+from caseweave.llm import (chat, embedding_dedup, exact_dedup, line_dedup, mixing, packing, secret_scan, simhash,
+                           suffix_dedup, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +36,17 @@ def op1(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path(), 2048)
 
 
+@query("op2_secret_scan")
+def op2(spark, folder):
+    return secret_scan.scan_secrets(table(spark, folder, "documents"))
+
+
+@query("op3_suffix_dedup")
+def op3(spark, folder):
+    return suffix_dedup.repeated_spans(table(spark, folder, "documents"), 50).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 @query("op4_exact_dedup", """
 with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
 g as (select x, max(doc_id) as keep_id, count(*) as group_size from t group by x)
@@ -77,6 +89,36 @@ def op8(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+@query("op9_preference_format", """
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  where conv_id is not null and turn is not null),
+last as (select conv_id, max(turn) as pos, max_by(text, turn) as reply from c where role = 'assistant' group by conv_id),
+swap as (select a.conv_id, a.pos, b.reply from last a join last b on b.conv_id = xor(a.conv_id, 1)),
+opening as (select conv_id, min_by(role, turn) as role, min_by(text, turn) as text from c group by conv_id),
+pairs as (select * from (select conv_id, lead(conv_id) over (partition by role, text, conv_id // 1024 order by conv_id) as nxt from opening) where nxt is not null),
+sides as (
+  select conv_id * 2 as pair_id, 'c' as side, turn, role, text from c join swap using (conv_id)
+  union all select conv_id * 2, 'r', turn, role, text from c join swap using (conv_id) where turn < pos
+  union all select conv_id * 2, 'r', pos, 'assistant', reply from swap
+  union all select p.conv_id * 2 + 1, 'c', turn, role, text from c join pairs p using (conv_id)
+  union all select p.conv_id * 2 + 1, 'r', turn, role, text from c join pairs p on c.conv_id = p.nxt),
+placed as (select *, row_number() over (partition by pair_id, side order by turn, role, text) as place from sides),
+compared as (select pair_id, place, count(*) = 2 and count(distinct role || chr(0) || text) = 1 as same from placed group by pair_id, place),
+prefix as (select pair_id, coalesce(min(place) filter (not same), max(place) + 1) - 1 as n from compared group by pair_id),
+rendered as (select pair_id, side, place, n, '<|' || role || '|>' || chr(10) as head, text || chr(10) || '<|end|>' || chr(10) as body, role from placed join prefix using (pair_id))
+select pair_id, any_value(n)::int as prefix_turns,
+  coalesce(string_agg(head || body, '' order by place) filter (side = 'c' and place <= n), '') as prompt,
+  coalesce(string_agg(head || body, '' order by place) filter (side = 'c' and place > n), '') as chosen,
+  coalesce(string_agg(head || body, '' order by place) filter (side = 'r' and place > n), '') as rejected,
+  coalesce(string_agg('0:' || length(head) || case when role = 'assistant' then ',1:' else ',0:' end || length(body), ',' order by place) filter (side = 'c' and place > n), '') as chosen_mask,
+  coalesce(string_agg('0:' || length(head) || case when role = 'assistant' then ',1:' else ',0:' end || length(body), ',' order by place) filter (side = 'r' and place > n), '') as rejected_mask
+from rendered group by pair_id""")
+def op9(spark, folder):
+    conversations = table(spark, folder, "conversations")
+    sides = [a.unionByName(b) for a, b in zip(chat.swapped_replies(conversations), chat.shared_openings(conversations))]
+    return chat.format_preferences(*sides)
+
+
 @query("op10_line_dedup", """
 with l as (select doc_id, i::int as place, string_split(text, chr(10))[i + 1] as line, len(string_split(text, chr(10))) as n
   from documents, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) as s(i)),
