@@ -1,8 +1,10 @@
 """Best-fit packing of token sequences, planned on the histogram of lengths."""
 from __future__ import annotations
 
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,34 +14,86 @@ from pyspark.sql import functions as F
 
 from caseweave.llm.common import cut
 
-CACHE_WORDS, CACHE_BYTES = 300_000, 48
+CACHE_WORDS, CACHE_BYTES = 600_000, 48
 _loaded: dict[str, WordEncoder] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, the others for
+    the letters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 class WordEncoder:
-    """Token ids of a text, as little-endian uint32 bytes, from a tokenizer whose words never cross ASCII white space.
+    """Token ids of a text, as little-endian uint32 bytes, from a tokenizer that lower-cases, drops white space and never
+    joins letters with other signs.
 
-    Words (runs without ASCII white space) are encoded once and remembered; the memory is cleared when it is full.
+    Words (runs without ASCII white space) are encoded once and remembered; the memory is cleared when it is full. A
+    word's trailing ASCII signs are a token run of their own. Words of Latin letters only are one piece to the model;
+    every other word goes through the tokenizer's whole chain.
     """
 
+    SIGNS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
+
     def __init__(self, tokenizer_json: str) -> None:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    def _split(self, word: bytes) -> tuple[bytes, ...]:
+        core = word.rstrip(self.SIGNS)
+        if len(core) < len(word) and core and core[-1:].isalnum() and b"<|" not in word:
+            return core, word[len(core):]
+        return (word,)
+
+    def _letters_of(self, part: bytes) -> str | None:
+        """What the model reads for a part of Latin letters only; None for others."""
+        if part.isalpha():
+            return part.lower().decode("ascii")
+        text = part.decode("utf-8", "replace")
+        if max(text) < "\u0250" and text.isalpha():
+            text = text.lower()
+            if text.isalpha() and unicodedata.is_normalized("NFC", text):
+                return "".join([self.letters[b] for b in text.encode()])
+        return None
+
+    def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that are not known yet."""
+        if len(self.parts) > CACHE_WORDS // 2:
+            self.parts.clear()
+        split = {word: self._split(word) for word in missing}
+        found, hard = self.parts, []
+        for part in {p for parts in split.values() for p in parts if p not in found}:
+            letters = self._letters_of(part)
+            if letters is None:
+                hard.append(part)
+            else:
+                found[part] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        for at in range(0, len(hard), 10_000):
+            part = hard[at:at + 10_000]
+            texts = [w.decode("utf-8", "replace") for w in part]
+            for word, enc in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                found[word] = array("I", enc.ids).tobytes()
+        out = {word: b"".join([found[p] for p in parts]) for word, parts in split.items()}
+        for part in {p for parts in split.values() for p in parts if len(p) > CACHE_BYTES}:
+            del found[part]
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [text.split() for text in texts]
-        wanted = set().union(*split)
+        # lower-casing A-Z first halves the words to remember; special tokens are written in lower case only
+        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        missing = [word for word in wanted if word not in self.known]
-        long = {}
-        for at in range(0, len(missing), 20_000):
-            part = missing[at:at + 20_000]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for word, enc in zip(part, found):
-                (self.known if len(word) <= CACHE_BYTES else long)[word] = np.array(enc.ids, dtype="<u4").tobytes()
         known = self.known
+        missing = set().union(*split) - known.keys()
+        new = self._learn(missing)
+        long = {w: ids for w, ids in new.items() if len(w) > CACHE_BYTES}
+        known.update((w, ids) for w, ids in new.items() if len(w) <= CACHE_BYTES)
         if long:
             return [b"".join([known[w] if w in known else long[w] for w in words]) for words in split]
         return [b"".join([known[w] for w in words]) for words in split]
