@@ -9,36 +9,46 @@ from pyspark.sql import types as T
 from . import fixed_values as V
 
 
+#: What counts as white space around a cell: all Unicode white space.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+                           0x202F, 0x205F, 0x3000]))
+
+
+def strip(text: Column) -> Column:
+    """A text without the white space around it, tabs, returns and no-break spaces included."""
+    return F.btrim(text, F.lit(SPACES))
+
+
 def null_if_no_match(text: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def normalize_phone(raw: Column) -> Column:
     """E.164 form of a national or international phone number, else NULL."""
-    compact = F.regexp_replace(F.trim(raw), r"[\s\-().]", "")
-    national = null_if_no_match(compact, r"^(?:\+91|91|0)?([6-9]\d{9})$", 1)
-    return F.coalesce(F.concat(F.lit("+91"), national),
-                      null_if_no_match(compact, r"^\+[1-9]\d{6,14}$"))
+    compact = F.regexp_replace(strip(raw), V.PHONE_NOISE, "")
+    national = null_if_no_match(compact, V.PHONE_NATIONAL, 1)
+    return F.coalesce(F.concat(F.lit(V.PHONE_PREFIX), national),
+                      null_if_no_match(compact, V.PHONE_INTERNATIONAL))
 
 
 def normalize_vehicle(raw: Column) -> Column:
-    compact = F.regexp_replace(F.upper(F.trim(raw)), r"[\s\-]", "")
+    compact = F.regexp_replace(F.upper(strip(raw)), V.GROUPING, "")
     return null_if_no_match(
-        compact, r"^(?:[A-Z]{2}\d{1,2}[A-Z]{1,3}\d{4}|\d{2}BH\d{4}[A-Z]{1,2})$")
+        compact, V.VEHICLE_FORM)
 
 
 def normalize_upi(raw: Column) -> Column:
-    return null_if_no_match(F.lower(F.trim(raw)), r"^[a-z0-9.\-_]{2,64}@[a-z]{2,32}$")
+    return null_if_no_match(F.lower(strip(raw)), V.UPI_FORM)
 
 
 def normalize_account(raw: Column) -> Column:
-    digits = null_if_no_match(F.regexp_replace(F.trim(raw), r"[\s\-]", ""), r"^\d{9,18}$")
-    reference = null_if_no_match(F.upper(F.trim(raw)), r"^(?=.*\d)[A-Z0-9/_\-]{4,20}$")
+    digits = null_if_no_match(F.regexp_replace(strip(raw), V.GROUPING, ""), V.ACCOUNT_DIGITS)
+    reference = null_if_no_match(F.upper(strip(raw)), V.ACCOUNT_REFERENCE)
     return F.coalesce(digits, reference)
 
 
 def normalize_ifsc(raw: Column) -> Column:
-    return null_if_no_match(F.upper(F.trim(raw)), r"^[A-Z]{4}0[A-Z0-9]{6}$")
+    return null_if_no_match(F.upper(strip(raw)), V.IFSC_FORM)
 
 
 def luhn_ok(raw: Column) -> Column:
@@ -65,12 +75,12 @@ def squeeze(text: Column) -> Column:
 
 
 def strip_honorific(name: Column) -> Column:
-    return F.regexp_replace(F.trim(name), "(?i)" + V.HONORIFICS, "")
+    return F.regexp_replace(strip(name), "(?i)" + V.HONORIFICS, "")
 
 
 def normalized(label: Column, kind: Column) -> Column:
     """Comparison value of a label; compose with ``nfkc`` when labels may be non-ASCII."""
-    value = F.trim(label)
+    value = strip(label)
     digits = F.regexp_replace(value, r"\D", "")
     return (F.when(kind == "Phone", F.coalesce(normalize_phone(value), digits))
             .when(kind == "IMEI", digits)
@@ -116,22 +126,22 @@ def norm_header(cell: Column) -> Column:
     return F.regexp_replace(F.lower(cell), "[^a-z0-9]", "")
 
 
-def role_position(names: Column, aliases: str) -> Column:
+def role_position(names: Column, aliases: list[str]) -> Column:
     """1-based position of the first header cell in an alias list, 0 when absent."""
-    wanted = F.array(*[F.lit(a) for a in aliases.split()])
+    wanted = F.array(*[F.lit(a) for a in aliases])
     hit = F.filter(F.transform(names, lambda n, i: F.when(F.array_contains(wanted, n), i + 1)),
                    lambda p: p.isNotNull())
     return F.coalesce(F.try_element_at(hit, F.lit(1)), F.lit(0)).cast("int")
 
 
-def map_roles(names: Column, roles: dict[str, str]) -> Column:
+def map_roles(names: Column, roles: dict[str, list[str]]) -> Column:
     """Header positions of every role, in the role dictionary's order."""
     return F.array(*[role_position(names, aliases) for aliases in roles.values()])
 
 
 def cell(cells: Column, position: Column) -> Column:
     """Trimmed cell at a 1-based position; absent or out of range gives ''."""
-    return F.coalesce(F.trim(F.try_element_at(cells, F.nullif(position, F.lit(0)))), F.lit(""))
+    return F.coalesce(strip(F.try_element_at(cells, F.nullif(position, F.lit(0)))), F.lit(""))
 
 
 def column_span(cells: Column, position: Column) -> Column:
@@ -139,8 +149,8 @@ def column_span(cells: Column, position: Column) -> Column:
     raw = F.coalesce(F.try_element_at(cells, F.nullif(position, F.lit(0))), F.lit(""))
     before = F.aggregate(F.slice(cells, F.lit(1), position - 1), F.lit(0),
                          lambda total, c: total + F.length(c) + 3)
-    start = before + F.length(raw) - F.length(F.ltrim(raw))
-    return F.struct(start.alias("start"), (start + F.length(F.trim(raw))).alias("end"))
+    start = before + F.length(raw) - F.length(F.ltrim(raw, F.lit(SPACES)))
+    return F.struct(start.alias("start"), (start + F.length(strip(raw))).alias("end"))
 
 
 def first_truthy(*values: Column) -> Column:
@@ -150,17 +160,17 @@ def first_truthy(*values: Column) -> Column:
 
 def valid_call_number(value: Column) -> Column:
     digits = F.length(F.regexp_replace(value, r"\D", ""))
-    return value.rlike(r"^\+?[\d ()-]+$") & digits.between(7, 15)
+    return value.rlike(V.CALL_NUMBER_FORM) & digits.between(7, 15)
 
 
 def valid_case_id(value: Column) -> Column:
-    return value.rlike(r"^[A-Za-z0-9_-]{1,100}$")
+    return value.rlike(V.CASE_ID_FORM)
 
 
 def valid_entity(label: Column, kind: Column) -> Column:
     """Reject noise labels: list words, numbering shapes, malformed identifiers."""
     edge = "[" + "".join("\\" + c for c in V.LABEL_EDGE_PUNCTUATION) + "]"
-    clean = F.regexp_replace(F.trim(label), f"^{edge}+|{edge}+$", "")
+    clean = F.regexp_replace(strip(label), f"^{edge}+|{edge}+$", "")
 
     def judge(text):
         low = F.lower(text)

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
 from ..functions.identifiers import first_truthy, squeeze
 
 
@@ -177,13 +178,6 @@ def run_complete(parts: DataFrame) -> DataFrame:
                     .otherwise(F.lit("relationships_pending")).alias("status")))
 
 
-NO_RELATIONSHIP = ("Entities extracted; no explicit relationships validated. "
-                   "Co-occurrence does not establish a relationship.")
-NEEDS_MAPPING = ("Unrecognized table columns need a source mapping; automatic call/bank mapping "
-                 "requires standard headers.")
-NO_SCHEMA = "No registry schema detected. Ensure column headers match expected names."
-
-
 def document_warnings(units: DataFrame, handled: DataFrame, edges: DataFrame, mapped: DataFrame) -> DataFrame:
     """Quality warnings per document, from its unit, handled-row and edge counts.
 
@@ -195,9 +189,9 @@ def document_warnings(units: DataFrame, handled: DataFrame, edges: DataFrame, ma
     schema = mapped.select("doc_id").distinct().withColumn("__s", F.lit(True))
     joined = loose.join(per_doc, "doc_id", "left").join(schema, "doc_id", "left")
     return joined.select("doc_id", F.array_compact(F.array(
-        F.when(F.col("__s").isNull(), F.lit(NO_SCHEMA)),
-        F.when(F.coalesce("n_edges", F.lit(0)) == 0, F.lit(NO_RELATIONSHIP)),
-        F.when(F.col("loose_rows") > 0, F.lit(NEEDS_MAPPING)))).alias("warnings"))
+        F.when(F.col("__s").isNull(), F.lit(V.NO_SCHEMA)),
+        F.when(F.coalesce("n_edges", F.lit(0)) == 0, F.lit(V.NO_RELATIONSHIP)),
+        F.when(F.col("loose_rows") > 0, F.lit(V.NEEDS_MAPPING)))).alias("warnings"))
 
 
 def last_updated(docs: DataFrame) -> DataFrame:

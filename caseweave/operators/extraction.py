@@ -1,13 +1,13 @@
 """Mentions and entities from text units."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.identifiers import (entity_id_from_value, identity_status, nfkc, normalized, squeeze,
                                      valid_entity)
-from ..functions.text import find_spans, rule_regex, sentences, snippet
+from ..functions.text import find_spans, let, rule_regex, sentences, snippet
 
 UNIT = ["case_id", "doc_id", "unit_index"]
 
@@ -56,22 +56,32 @@ def extract_identifiers(units: DataFrame, patterns=None) -> tuple[DataFrame, Dat
     return entities_of_mentions(mentions), mentions
 
 
+GAP = r"[\s.,;:!?()\[\]\"]"
 TOKEN = r"[^\s.,;:!?()\[\]\"]++(?:\.(?=\S)[^\s.,;:!?()\[\]\"]++)*+"
 
 
+def word_grams(text: Column, max_words: int) -> Column:
+    """Runs of one to max_words words as array<struct<start,end,label>>; each label is pieced together from its words and
+    the gaps between them, so a run costs its own length wherever it stands in the text."""
+    def build(tokens: Column, pieces: Column) -> Column:
+        def runs(first: Column, i: Column) -> Column:
+            lengths = F.filter(F.array(*[F.lit(n) for n in range(1, max_words + 1)]), lambda n: i + n <= F.size(tokens))
+            return F.transform(lengths, lambda n: let(F.element_at(tokens, i + n), lambda last: F.struct(
+                first["start"].alias("start"), last["end"].alias("end"),
+                F.concat(F.array_join(F.slice(pieces, i + 1, n - 1), ""), last["value"]).alias("label"))))
+        return F.flatten(F.transform(tokens, runs))
+
+    pieces = F.regexp_extract_all(text, F.lit(rule_regex(f"{TOKEN}{GAP}*+")), F.lit(0))
+    return let(find_spans(text, rule_regex(TOKEN)), lambda tokens: let(pieces, lambda p: build(tokens, p)))
+
+
 def tag_gazetteer(units: DataFrame, names: DataFrame, max_words: int = 3) -> tuple[DataFrame, DataFrame]:
     """Names of a (name, type) table found in the text, longest match first.
 
-    Texts become word n-grams with offsets and meet the names in an equi-join.
+    Texts become word n-grams with offsets and meet the names in an equi-join; only those that meet one come back to
+    their text.
     """
-    tokens = units.withColumn("tokens", find_spans(F.col("text"), rule_regex(TOKEN)))
-    starts = tokens.select(*UNIT, "text", "tokens", F.posexplode("tokens").alias("i", "first"))
-    gram = F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.lit(max_words)), lambda n: F.when(
-        F.col("i") + n <= F.size("tokens"), F.struct(
-            F.col("first.start").alias("start"), F.element_at("tokens", F.col("i") + n)["end"].alias("end")))),
-        lambda g: g.isNotNull()))
-    grams = starts.select(*UNIT, gram.alias("g"), F.col("text")).select(
-        *UNIT, "g.start", "g.end", F.substr("text", F.col("g.start") + 1, F.col("g.end") - F.col("g.start")).alias("label"))
+    grams = units.select(*UNIT, F.explode(word_grams(F.col("text"), max_words)).alias("g")).select(*UNIT, "g.*")
     keyed = grams.withColumn("key", squeeze(F.lower("label")))
     vocabulary = names.select(squeeze(F.lower("name")).alias("key"), "type").dropDuplicates(["key"])
     hits = keyed.join(vocabulary, "key")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import lead_confidence, lead_severity
-from .aggregates import connections, neighbor_kinds, neighbor_pairs, supporting_sources, undirected_pairs
+from .aggregates import neighbor_kinds, neighbor_pairs, supporting_sources, undirected_pairs
 from .graph import common_neighbors
 from .windows import top_neighbors
 
@@ -28,8 +28,11 @@ def neighbor_names(nodes: DataFrame, edges: DataFrame, k: int = 4) -> DataFrame:
 
 
 def leads_cross_domain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Entities linked to at least three distinct others."""
-    hubs = connections(nodes, edges).filter(F.col("connections") >= HUB_CONNECTIONS)
+    """Entities with at least three distinct neighbours; a link to itself makes an entity its own neighbour once."""
+    linked = (neighbor_pairs(edges).select("case_id", "id", "neighbor").distinct()
+              .groupBy("case_id", "id").agg(F.count("*").alias("connections"))
+              .filter(F.col("connections") >= HUB_CONNECTIONS))
+    hubs = nodes.join(linked, ["case_id", "id"])
     full = (hubs.join(neighbor_kinds(nodes, edges), ["case_id", "id"])
             .join(neighbor_names(nodes, edges), ["case_id", "id"])
             .join(source_counts(edges), ["case_id", "id"]))

@@ -19,16 +19,19 @@ from .windows import keep_first, reuse_target
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Keyed merge: incoming values replace, created_at is kept, repeats change nothing.
 
-    A union and one map-side combined aggregation; retries and duplicate keys
-    inside ``incoming`` are harmless.
+    Rows of one key are ordered by updated_at and seq, as far as the tables have them, and last by their content as
+    JSON, which any column can be written as; the last row wins. A union and one map-side combined aggregation, so
+    retries and duplicate keys inside ``incoming`` are harmless.
     """
     rest = [c for c in current.columns if c not in (*keys, "created_at")]
     both = (current.withColumn("__new", F.lit(0))
             .unionByName(incoming.withColumn("__new", F.lit(1)), allowMissingColumns=True))
-    order = F.struct("__new", *(["updated_at"] if "updated_at" in rest else []), F.hash(*keys, *rest))
-    merged = both.groupBy(*keys).agg(F.max_by(F.struct("__new", *rest), order).alias("__r"),
-                                     F.min("created_at").alias("created_at"))
-    return merged.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest], "created_at").select(*current.columns)
+    stated = [c for c in ("updated_at", "seq") if c in rest]
+    order = F.struct("__new", *stated, F.to_json(F.struct(*rest)).alias("content") if rest else F.lit(""))
+    kept = [F.min("created_at").alias("created_at")] if "created_at" in current.columns else []
+    merged = both.groupBy(*keys).agg(F.max_by(F.struct("__new", *rest), order).alias("__r"), *kept)
+    return merged.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest],
+                         *(["created_at"] if kept else [])).select(*current.columns)
 
 
 def reanalyze(tables: dict[str, DataFrame], result: dict[str, DataFrame], complete: DataFrame) -> dict[str, DataFrame]:
@@ -80,10 +83,12 @@ def first_of_batch(incoming: DataFrame, known: DataFrame, order: str) -> DataFra
 
 
 def apply_reviews(edges: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Set each edge's latest review status (case-scoped)."""
+    """Set each edge's latest review status. An edge is named by case, report and id where reviews name the report:
+    row ids repeat over the documents of a case."""
+    keys = ["case_id", "report_id", "id"] if "report_id" in reviews.columns else ["case_id", "id"]
     latest = (reviews.filter(F.col("review_status").isin("accepted", "rejected", "pending"))
-              .groupBy("case_id", "id").agg(F.max_by("review_status", F.struct("updated_at", "review_status")).alias("__s")))
-    return (edges.join(latest, ["case_id", "id"], "left")
+              .groupBy(*keys).agg(F.max_by("review_status", F.struct("updated_at", "review_status")).alias("__s")))
+    return (edges.join(latest, keys, "left")
             .withColumn("review_status", F.coalesce("__s", "review_status")).drop("__s"))
 
 
@@ -108,6 +113,8 @@ def append_queue(queue: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 CASE_TABLES = ("documents", "entities", "mentions", "relationships", "reports")
+#: Tables that a case may have besides; they go with it.
+SIDE_TABLES = ("sightings", "files")
 
 
 def purge_blockers(tables: dict[str, DataFrame], case_id) -> DataFrame:
@@ -125,16 +132,25 @@ def purge_blockers(tables: dict[str, DataFrame], case_id) -> DataFrame:
 
 
 def purge_case(tables: dict[str, DataFrame], case_id, drop_case: bool = False):
-    """(remaining tables, removed counts per table).  Callers check ``purge_blockers`` first."""
+    """(remaining tables, removed counts per table).  Callers check ``purge_blockers`` first.
+
+    The case row stays unless ``drop_case`` says otherwise; a case that is known by its documents only gets one.
+    """
     mine = F.col("case_id").eqNullSafe(F.lit(case_id))
-    remaining = {name: tables[name].filter(~mine) for name in CASE_TABLES}
+    names = [n for n in (*CASE_TABLES, *SIDE_TABLES) if n in CASE_TABLES or n in tables]
+    remaining = {name: tables[name].filter(~mine) for name in names}
     if "cases" in tables:
         this = F.col("id") == case_id
+        others = tables["cases"].filter(~this)
         if drop_case:
-            remaining["cases"] = tables["cases"].filter(~this)
+            remaining["cases"] = others
         else:
-            remaining["cases"] = tables["cases"]
+            discovered = tables["documents"].filter(mine).agg(F.count("*").alias("n")).filter("n > 0").select(
+                F.lit(case_id).cast(tables["cases"].schema["id"].dataType).alias("id"))
+            known = tables["cases"].filter(this)
+            remaining["cases"] = others.unionByName(known).unionByName(
+                discovered.join(known.select("id"), "id", "left_anti"), allowMissingColumns=True)
     removed = reduce(lambda a, b: a.unionByName(b), [
         tables[name].filter(mine).agg(F.count("*").alias("removed")).select(
-            F.lit(name).alias("table_name"), "removed") for name in CASE_TABLES])
+            F.lit(name).alias("table_name"), "removed") for name in names])
     return remaining, removed

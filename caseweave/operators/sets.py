@@ -33,3 +33,8 @@ def soft_delete_missing(current: DataFrame, new: DataFrame, keys: list[str]) ->
     return (current.join(mark, keys, "left")
             .withColumn("active", F.coalesce("__kept", F.lit(False)) & F.coalesce("active", F.lit(True)))
             .drop("__kept"))
+
+
+def neighbor_intersection(pairs: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``pairs`` whose keys ``other`` holds too: shared neighbours as an equi-join, each once."""
+    return pairs.select(*keys).distinct().join(other.select(*keys), keys, "left_semi")

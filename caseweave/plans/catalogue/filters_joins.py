@@ -277,7 +277,7 @@ and regexp_matches(text, '[^ \\t\\n\\r\\f\\x0b]+[ \\t\\n\\r\\f\\x0b]+[^ \\t\\n\\
 def _(s):
     from ...operators.proposals import locate_quotes
     from ...functions.identifiers import squeeze
-    units = s.texts().filter(F.col("text").rlike(r"\S\s+\S"))
+    units = s.texts()
     passages = units.select("case_id", "doc_id", "unit_index", F.lit("0").alias("batch"),
                             F.lit(0).alias("passage_start"), F.col("text").alias("passage"))
     whole = units.select("case_id", "doc_id", F.lit("0").alias("batch"), F.col("doc_id").alias("proposal_id"),
@@ -348,14 +348,13 @@ def _(s):
     return U.distinct_ids("case_id", s.edges(), s.documents(), s.entities())
 
 
-@query("u5_neighbor_intersection", """, l as (select distinct l_partkey p, l_suppkey k from lineitem where l_quantity > 40)
+@query("u5_neighbor_intersection", """, l as (select distinct l_partkey p, l_suppkey k from lineitem)
 select a.p part_a, a.k supplier from l a join l b on a.k = b.k and b.p = a.p + 1""")
 def _(s):
     """Suppliers shared by consecutive parts: set intersection as an equi-join."""
-    pairs = s.table("lineitem").filter("l_quantity > 40").select(
-        F.col("l_partkey").alias("part_a"), F.col("l_suppkey").alias("supplier")).distinct()
+    pairs = s.table("lineitem").select(F.col("l_partkey").alias("part_a"), F.col("l_suppkey").alias("supplier"))
     following = pairs.select((F.col("part_a") - 1).alias("part_a"), "supplier")
-    return pairs.join(following, ["part_a", "supplier"], "left_semi")
+    return U.neighbor_intersection(pairs, following, ["part_a", "supplier"])
 
 
 @query("u6_soft_delete", """select case_id, id, source, exists (select 1 from ev n where n.source = ev.source

@@ -23,14 +23,24 @@ def graph(s):
     return G.build_graph(s.entities(), s.edges())
 
 
-# nations linked by trade inside a region pair: a graph with triangles, in one case per order status
-TRADE = """select distinct o_orderstatus case_id, least(a, b) a, greatest(a, b) b from (select o_orderstatus,
-  concat('n', cast(c_nationkey as string)) a, concat('n', cast(s_nationkey as string)) b, l_quantity
+# nations linked by trade above their case's mean volume, one case per order status: a graph with triangles and
+# self-loops that every line decides
+TRADE_LINES = """select o_orderstatus case_id, concat('n', cast(c_nationkey as string)) x,
+  concat('n', cast(s_nationkey as string)) y, c_mktsegment report_id, l_quantity q
   from {lineitem} join {orders} on l_orderkey = o_orderkey join {customer} on c_custkey = o_custkey
-  join {supplier} on s_suppkey = l_suppkey where l_quantity = 7 and l_linenumber = 3) t"""
+  join {supplier} on s_suppkey = l_suppkey"""
+TRADE = f"""select case_id, a, b from (select *, avg(q) over (partition by case_id) mean from (
+  select case_id, least(x, y) a, greatest(x, y) b, sum(q) q from ({TRADE_LINES}) l group by 1, 2, 3) p) m where q > mean"""
+TRADE_EDGES = f"""select distinct l.case_id, x source, y target, report_id from ({TRADE_LINES}) l
+  join ({TRADE}) k on k.case_id = l.case_id and k.a = least(x, y) and k.b = greatest(x, y)"""
 TRADE_SQL = """, tr as (""" + TRADE.replace("{", "").replace("}", "") + """),
 tn as (select distinct case_id, a id from tr union select case_id, b from tr),
-ta as (select case_id, a id, b nb from tr where a <> b union select case_id, b, a from tr where a <> b)
+ta as (select case_id, a id, b nb from tr where a <> b union select case_id, b, a from tr where a <> b),
+te as (select case_id, source x, target y, report_id from (""" + TRADE_EDGES.replace("{", "").replace("}", "") + """) e)
+"""
+# the whole entity graph under the same names
+GRAPH_SQL = """, tr as (select case_id, a, b from und), tn as (select case_id, id from ent),
+ta as (select case_id, id, neighbor nb from adj)
 """
 
 
@@ -85,7 +95,7 @@ def _(s):
 PR_STEPS = 20
 
 
-def _pagerank_sql() -> str:
+def _pagerank_sql(graph_sql: str) -> str:
     steps = ["pn as (select tn.case_id, tn.id, coalesce(o, 0) o, count(*) over (partition by tn.case_id) n from tn left join "
              "(select case_id, id, count(*) o from tl group by 1, 2) q using (case_id, id))",
              "r0 as (select case_id, id, o, n, 1.0::double / n r from pn)"]
@@ -93,13 +103,13 @@ def _pagerank_sql() -> str:
         steps.append(f"""r{k} as materialized (select x.case_id, x.id, o, n, 0.15 / n + 0.85 * (coalesce(i, 0) + coalesce(dm, 0) / n) r from r{k - 1} x
           left join (select tl.case_id, nb id, sum(r / o) i from r{k - 1} y join tl on tl.case_id = y.case_id and tl.id = y.id group by 1, 2) q using (case_id, id)
           left join (select case_id, sum(r) dm from r{k - 1} where o = 0 group by 1) z on z.case_id = x.case_id)""")
-    return (TRADE_SQL + ", tl as (select * from ta union all select case_id, a, a from tr where a = b),\n" + ",\n".join(steps)
+    return (graph_sql + ", tl as (select * from ta union all select case_id, a, a from tr where a = b),\n" + ",\n".join(steps)
             + f" select case_id, id, round(r, 9) pagerank from r{PR_STEPS}")
 
 
-@query("g4_pagerank", _pagerank_sql())
+@query("g4_pagerank", _pagerank_sql(GRAPH_SQL))
 def _(s):
-    nodes, pairs = trade(s)
+    nodes, pairs = graph(s)
     return G.pagerank(nodes, pairs, tol=None, max_iter=PR_STEPS).select("case_id", "id", F.round("pagerank", 9).alias("pagerank"))
 
 
@@ -123,7 +133,7 @@ def _(s):
 
 
 def _ranking_sql() -> str:
-    head, tail = _pagerank_sql().rsplit("select case_id, id, round(r, 9) pagerank", 1)
+    head, tail = _pagerank_sql(TRADE_SQL).rsplit("select case_id, id, round(r, 9) pagerank", 1)
     return (head.rstrip() + ", vn as (select * from tn), va as (select * from ta)" + _distances(8) + ", bt as (" + PAIR_SUM
             + f""") select vn.case_id, vn.id, (select count(*) from ta where ta.case_id = vn.case_id and ta.id = vn.id)
               + 2 * (select count(*) from tr where tr.case_id = vn.case_id and a = b and a = vn.id) connections,
@@ -156,18 +166,13 @@ def _(s):
 
 def trade_edges(s):
     """Trade links with a report per customer segment, and their nodes."""
-    edges = s.sql("""select distinct o_orderstatus case_id, concat('n', cast(c_nationkey as string)) source,
-        concat('n', cast(s_nationkey as string)) target, c_mktsegment report_id from {lineitem} join {orders} on l_orderkey = o_orderkey
-        join {customer} on c_custkey = o_custkey join {supplier} on s_suppkey = l_suppkey where l_quantity = 7 and l_linenumber = 3""")
+    edges = s.sql(TRADE_EDGES)
     nodes = edges.select("case_id", F.explode(F.array("source", "target")).alias("id")).distinct().select(
         "case_id", "id", F.upper("id").alias("label"), F.lit("Location").alias("type"))
     return nodes, edges
 
 
-@query("l2_bridge", TRADE_SQL + ", vn as (select * from tn), va as (select * from ta)" + _distances(8) + ", bt as (" + PAIR_SUM + """),
-te as (select distinct o_orderstatus case_id, concat('n', c_nationkey) x, concat('n', s_nationkey) y, c_mktsegment report_id
-  from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey
-  where l_quantity = 7 and l_linenumber = 3)
+@query("l2_bridge", TRADE_SQL + ", vn as (select * from tn), va as (select * from ta)" + _distances(8) + ", bt as (" + PAIR_SUM + """)
 select bt.case_id, id entity_id, concat('Potential network bridge: ', upper(id)) title, count(distinct report_id) sources
 from bt join te on te.case_id = bt.case_id and id in (x, y) where betweenness >= 0.12 group by 1, 2, 3""")
 def _(s):
@@ -176,10 +181,7 @@ def _(s):
     return L.leads_bridge(nodes, edges, scores).select("case_id", "entity_id", "title", "sources")
 
 
-@query("l3_shared", TRADE_SQL + """, te as (select distinct o_orderstatus case_id, concat('n', c_nationkey) x, concat('n', s_nationkey) y, c_mktsegment report_id
-  from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey
-  where l_quantity = 7 and l_linenumber = 3),
-c as (select x.case_id, x.a, x.b, min(y.nb) common from tr x join ta y on y.case_id = x.case_id and y.id = x.a
+@query("l3_shared", TRADE_SQL + """, c as (select x.case_id, x.a, x.b, min(y.nb) common from tr x join ta y on y.case_id = x.case_id and y.id = x.a
   join ta z on z.case_id = x.case_id and z.id = x.b and z.nb = y.nb where x.a <> x.b group by 1, 2, 3)
 select c.case_id, concat(a, '|', b) entity_id, count(distinct report_id) sources, concat('Both are linked to ', upper(common),
 '. Validate whether this is a meaningful connection or incidental overlap.') reason from c join te on te.case_id = c.case_id and
@@ -210,12 +212,9 @@ def _(s):
 
 
 @query("t3_first_leads", TRADE_SQL + ", vn as (select * from tn), va as (select * from ta)" + _distances(8) + ", bt as (" + PAIR_SUM + """),
-te as (select distinct o_orderstatus case_id, concat('n', c_nationkey) x, concat('n', s_nationkey) y, c_mktsegment report_id
-  from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey
-  where l_quantity = 7 and l_linenumber = 3),
 sc as (select case_id, id, count(distinct report_id) sources from (select case_id, x id, report_id from te union all select case_id, y, report_id from te) group by 1, 2),
 dg as (select case_id, id, (select count(*) from ta where ta.case_id = tn.case_id and ta.id = tn.id)
-  + 2 * (select count(*) from tr where tr.case_id = tn.case_id and a = b and a = tn.id) d from tn),
+  + (select count(*) from tr where tr.case_id = tn.case_id and a = b and a = tn.id) d from tn),
 cn as (select x.case_id, x.a, x.b, min(y.nb) common from tr x join ta y on y.case_id = x.case_id and y.id = x.a
   join ta z on z.case_id = x.case_id and z.id = x.b and z.nb = y.nb where x.a <> x.b group by 1, 2, 3),
 al as (select 1 g, 1 o, case_id, id entity_id, 'high' severity, concat('Cross-domain linkage: ', upper(id)) title,

@@ -68,7 +68,7 @@ def main() -> None:
     import __spark_entry__ as entry
     queries, oracles = entry.queries(), entry.oracle_sql()
     picked = [n for n in queries if not args[1:] or any(n.startswith(a) for a in args[1:])]
-    spark, con = session(), duck(folder)
+    spark, con = session(int(os.environ.get("CPUS", "8"))), duck(folder)
     for name in picked:
         start = time.time()
         try:
