@@ -126,9 +126,14 @@ def norm_header(cell: Column) -> Column:
     return F.regexp_replace(F.lower(cell), "[^a-z0-9]", "")
 
 
-def role_position(names: Column, aliases: list[str]) -> Column:
+def alias_list(aliases: list[str] | str) -> list[str]:
+    """Header names as a list; a string holds them separated by blanks."""
+    return aliases.split() if isinstance(aliases, str) else list(aliases)
+
+
+def role_position(names: Column, aliases: list[str] | str) -> Column:
     """1-based position of the first header cell in an alias list, 0 when absent."""
-    wanted = F.array(*[F.lit(a) for a in aliases])
+    wanted = F.array(*[F.lit(a) for a in alias_list(aliases)])
     hit = F.filter(F.transform(names, lambda n, i: F.when(F.array_contains(wanted, n), i + 1)),
                    lambda p: p.isNotNull())
     return F.coalesce(F.try_element_at(hit, F.lit(1)), F.lit(0)).cast("int")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.identifiers import (cell, column_span, edge_id, entity_id_from_value, map_roles,
+from ..functions.identifiers import (alias_list, cell, column_span, edge_id, entity_id_from_value, map_roles,
                                      nfkc, norm_header, normalized, valid_call_number)
 from ..functions.scoring import drop_empty, parse_duration
 from ..functions.text import let
@@ -25,7 +25,7 @@ def _names(cells: Column) -> Column:
 
 
 def _overlaps(names: Column, aliases: str) -> Column:
-    return F.arrays_overlap(names, F.array(*[F.lit(a) for a in aliases]))
+    return F.arrays_overlap(names, F.array(*[F.lit(a) for a in alias_list(aliases)]))
 
 
 def table_group(df: DataFrame) -> Column:
@@ -93,14 +93,14 @@ def registry_headers(units: DataFrame, schemas: dict[str, dict[str, str]] | None
                      required: dict[str, str] | None = None) -> DataFrame:
     """One schema in force per document; the first matching schema in declared order wins."""
     schemas, required = schemas or V.REGISTRY_ALIASES, required or V.REGISTRY_REQUIRED
-    any_required = sorted({a for s in schemas for r in required[s]
-                                    for a in schemas[s][r]})
+    any_required = sorted({a for s in schemas for r in alias_list(required[s])
+                                    for a in alias_list(schemas[s][r])})
 
     def build(names):
         choices = []
         for schema, roles in schemas.items():
             complete = F.lit(True)
-            for role in required[schema]:
+            for role in alias_list(required[schema]):
                 complete = complete & _overlaps(names, roles[role])
             choices.append(F.when(complete, F.struct(F.lit(True).alias("ok"), F.lit(schema).alias("schema"),
                                                      map_roles(names, roles).alias("pos"))))

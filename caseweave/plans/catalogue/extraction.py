@@ -443,3 +443,17 @@ def _(s):
     units, names = meetings(s)
     _e, mentions = X.tag_gazetteer(units, names)
     return extract_relations(units, mentions, compile_rules(load_rules(s.spark))).select("doc_id", "type")
+
+
+@query("k3_extraction_run", f"""select type, count(*) edges from (
+select 'CALLED' type from orders where o_orderkey % 10 <> 0 union all select 'CALLED' from orders where o_orderkey % 7 in {CALL_FORMS} union all
+select case when o_orderkey % 2 = 0 then 'SENT_UPI' else 'TRANSFERRED_TO' end from orders union all select 'TRANSFERRED_TO' from orders) group by 1""")
+def _(s):
+    """A whole run over call logs, bank statements and narratives, saved and read back."""
+    from ..extraction_run import run_extraction
+    tagged = lambda units, mark: units.withColumn("doc_id", F.concat(F.lit(mark), F.col("doc_id").cast("string")))
+    units = (tagged(call_units(s), "calls ").unionByName(tagged(transfer_units(s), "bank "))
+             .unionByName(tagged(s.narratives().select("case_id", "doc_id", "unit_index", "kind", "text"), ""), allowMissingColumns=True))
+    root = scratch_path(s.spark, "run")
+    store.save_extraction(run_extraction(units, F.timestamp_seconds(F.lit(0))), root)
+    return s.spark.read.parquet(store.table_path(root, "relationships")).groupBy("type").agg(F.count("*").alias("edges"))
