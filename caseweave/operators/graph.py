@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from .aggregates import connections, neighbor_pairs, undirected_pairs
 from .iteration import cut
+from .windows import top_k
 
 EDGES_PER_SALT = 100_000
 DENSE_NODES = 2_000
+SOURCES_PER_TASK = 128
 ROUND_ROWS = 2_000_000_000
 
 
@@ -88,56 +90,78 @@ def _moving(ranks: DataFrame, tol: float) -> bool:
     return bool(drift.filter(F.col("e") >= F.col("n") * tol).limit(1).count())
 
 
-def _dense_betweenness(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All-sources path counting of one small case with dense matrices (at most DENSE_NODES nodes)."""
-    names, index = np.unique(pdf[["a", "b"]].to_numpy(dtype=str).ravel(), return_inverse=True)
-    n = len(names)
-    ends = index.reshape(-1, 2)
+def _block_betweenness(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Path counting from one block of a case's nodes; rows are the case's links (a, b) and the block's nodes (s).
+
+    Layers are kept as places and not as masks, and a step multiplies only the rows of nodes that some source has just
+    reached, so long paths cost what they hold.
+    """
+    links = pdf[pdf["s"].isna()]
+    names, index = np.unique(links[["a", "b"]].to_numpy(dtype=str).ravel(), return_inverse=True)
+    n, ends = len(names), index.reshape(-1, 2)
     adjacency = np.zeros((n, n))
     adjacency[ends[:, 0], ends[:, 1]] = adjacency[ends[:, 1], ends[:, 0]] = 1.0
-    seen, paths = np.eye(n, dtype=bool), np.eye(n)
-    layers, frontier = [], np.eye(n)
-    while frontier.any():
-        layers.append(frontier > 0)
-        step = (frontier @ adjacency) * ~seen
+    wanted = pdf["s"].dropna().to_numpy(dtype=str)
+    sources = np.flatnonzero(np.isin(names, wanted))
+    rows = np.arange(len(sources))
+    paths, credit = np.zeros((len(sources), n)), np.zeros((len(sources), n))
+    paths[rows, sources] = 1.0
+    frontier, layers = paths.copy(), []
+    place = (rows, sources)
+    while len(place[0]):
+        layers.append(place)
+        active = np.unique(place[1])
+        step = np.where(paths > 0, 0.0, frontier[:, active] @ adjacency[active])
         paths += step
-        seen |= step > 0
-        frontier = step
-    credit = np.zeros((n, n))
+        frontier, place = step, np.nonzero(step)
     for depth in range(len(layers) - 1, 0, -1):
-        per_path = np.where(layers[depth], (1.0 + credit) / np.where(paths > 0, paths, 1.0), 0.0)
-        credit += np.where(layers[depth - 1], (per_path @ adjacency) * paths, 0.0)
-    np.fill_diagonal(credit, 0.0)
-    return pd.DataFrame({"case_id": pdf["case_id"].iloc[0], "id": names, "raw": credit.sum(axis=0)})
+        place, active = layers[depth], np.unique(layers[depth][1])
+        per_path = np.zeros((len(sources), n))
+        per_path[place] = (1.0 + credit[place]) / paths[place]
+        given = per_path[:, active] @ adjacency[active]
+        credit[layers[depth - 1]] += given[layers[depth - 1]] * paths[layers[depth - 1]]
+    credit[rows, sources] = 0.0
+    raw = credit.sum(axis=0)
+    return pd.DataFrame({"case_id": pdf["case_id"].iloc[0], "id": names[raw > 0], "raw": raw[raw > 0]})
 
 
 def betweenness(nodes: DataFrame, pairs: DataFrame, dense_nodes: int = DENSE_NODES,
-                source_rounds: int | None = None) -> DataFrame:
+                source_rounds: int | None = None, pivots: int | None = None) -> DataFrame:
     """Normalized shortest-path betweenness, endpoints excluded.
 
-    A case with at most ``dense_nodes`` nodes is one bounded task; larger cases
-    run level-synchronously over distributed (source, node) tables, their sources
-    split in rounds so that one round holds about ROUND_ROWS rows.
+    A case with at most ``dense_nodes`` nodes is one task per SOURCES_PER_TASK of them, each with the case's links;
+    larger cases run level-synchronously over distributed (source, node) tables, their sources split in rounds so that
+    one round holds about ROUND_ROWS rows.  Both give the same.  With ``pivots`` only that many sources per case, those
+    of the smallest hash, are followed and their sum is scaled up: an estimate for cases whose n squared is too large.
     """
     sizes = nodes.groupBy("case_id").agg(F.count("*").alias("n"))
+    vertices = nodes.select("case_id", "id").distinct()
+    sources = vertices if pivots is None else top_k(vertices, ["case_id"], [F.xxhash64("id"), F.col("id")], pivots)
     proper = pairs.filter("a <> b").join(sizes, "case_id")
-    small = proper.filter(F.col("n") <= dense_nodes).select("case_id", "a", "b")
     case_type = dict(nodes.dtypes)["case_id"]
-    raw = small.groupBy("case_id").applyInPandas(
-        _dense_betweenness, f"case_id {case_type}, id string, raw double")
-    large_nodes = cut(nodes.select("case_id", "id").join(
-        sizes.filter(F.col("n") > dense_nodes), "case_id", "left_semi"))
-    volume = large_nodes.groupBy("case_id").agg(F.count("*").cast("double").alias("n")).agg(
-        F.sum(F.col("n") * F.col("n"))).first()[0]
+    blocks = F.ceil(F.col("n") / SOURCES_PER_TASK).cast("int")
+    none = F.lit(None).cast("string")
+    small = proper.filter(F.col("n") <= dense_nodes)
+    spread_links = small.select("case_id", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "a", "b", none.alias("s"))
+    own = (sources.join(sizes.filter(F.col("n") <= dense_nodes), "case_id")
+           .join(small.select("case_id").distinct(), "case_id", "left_semi")
+           .select("case_id", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), none.alias("a"), none.alias("b"),
+                   F.col("id").cast("string").alias("s")))
+    raw = spread_links.unionByName(own).groupBy("case_id", "block").applyInPandas(
+        _block_betweenness, f"case_id {case_type}, id string, raw double")
+    large_nodes = cut(sources.join(sizes.filter(F.col("n") > dense_nodes), "case_id").select("case_id", "id", "n"))
+    volume = large_nodes.agg(F.sum(F.col("n").cast("double"))).first()[0]
     if volume:
         source_rounds = source_rounds or int(-(-volume // ROUND_ROWS))
         links = cut(both_directions(proper.filter(F.col("n") > dense_nodes)).select("case_id", "id", "neighbor"))
         raw = raw.unionByName(reduce(lambda a, b: a.unionByName(b), [
             _layered_betweenness(large_nodes.filter(F.pmod(F.hash("id"), F.lit(source_rounds)) == r), links)
-            for r in range(source_rounds)]).groupBy("case_id", "id").agg(F.sum("raw").alias("raw")))
+            for r in range(source_rounds)]))
+    raw = raw.groupBy("case_id", "id").agg(F.sum("raw").alias("raw"))
+    scale = F.lit(1.0) if pivots is None else F.col("n") / F.least(F.col("n"), F.lit(pivots))
     pairs_of = (F.col("n") - 1) * (F.col("n") - 2)
     return (nodes.select("case_id", "id").join(sizes, "case_id").join(raw, ["case_id", "id"], "left")
-            .select("case_id", "id", F.when(F.col("n") > 2, F.coalesce("raw", F.lit(0.0)) / pairs_of)
+            .select("case_id", "id", F.when(F.col("n") > 2, F.coalesce("raw", F.lit(0.0)) * scale / pairs_of)
                     .otherwise(F.lit(0.0)).alias("betweenness")))
 
 

@@ -12,13 +12,6 @@ from pyspark.sql import functions as F
 BLOCK = 65536
 
 
-def _null_safe(a: list[Column], b: list[Column]) -> Column:
-    cond = F.lit(True)
-    for x, y in zip(a, b):
-        cond = cond & x.eqNullSafe(y)
-    return cond
-
-
 def running_max(df: DataFrame, keys: list[str], order: str, outputs: dict[str, Column],
                 block: int = BLOCK) -> DataFrame:
     """Add the running maximum (current row included) of each output expression.

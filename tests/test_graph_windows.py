@@ -124,3 +124,17 @@ def test_top_neighbors_ranks_before_the_shuffle(spark):
     top = W.top_neighbors(neighbor_pairs(edges, "seq"), 4)
     assert [r["neighbor"] for r in top.filter("id = 'hub'").orderBy("rank").collect()] == ["n0", "n1", "n2", "n3"]
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_path_and_pivots(spark):
+    """A path of 700 nodes has known scores; pivots estimate them and all nodes as pivots give them exactly."""
+    from caseweave.operators import graph as G
+    n = 700
+    nodes = spark.createDataFrame([("c", f"{i:04d}") for i in range(n)], "case_id string, id string")
+    pairs = spark.createDataFrame([("c", f"{i:04d}", f"{i + 1:04d}") for i in range(n - 1)], "case_id string, a string, b string")
+    want = {f"{i:04d}": 2 * i * (n - 1 - i) / ((n - 1) * (n - 2)) for i in range(n)}
+    for options in ({}, {"pivots": n}):
+        found = {r["id"]: r["betweenness"] for r in G.betweenness(nodes, pairs, **options).collect()}
+        assert all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    some = {r["id"]: r["betweenness"] for r in G.betweenness(nodes, pairs, pivots=200).collect()}
+    assert max(abs(some[k] - want[k]) for k in want) < 0.15
