@@ -7,7 +7,7 @@ from ...functions import fixed_values as V
 from ...functions import identifiers as I
 from ...functions import scoring as S
 from ...functions import text as X
-from .registry import query
+from .registry import ORACLES, query
 
 # raw identifiers in several spellings, from the customer keys; the same text runs on both engines
 RAW = """(select c_custkey k, c_name, c_nationkey, c_mktsegment, c_acctbal,
@@ -237,6 +237,23 @@ def _(s):
     return parts.select("doc_id", "n", "c.start", "c.end", "c.clipped")
 
 
+def _window(at: str) -> str:
+    """The window that begins at a place, as columns of a select over text and total."""
+    limit = f"least({at} + 2000, total)"
+    low = f"greatest({at} + 1, {limit} - 200)"
+    reach = " , ".join(f"length(regexp_extract(substr(text, {low} + 1, {limit} - {low}), '(?s)^.*(?:{end})'))"
+                       for end in (r"[.!?](?:\s+|\z)", r"\n\s*\n"))
+    return f"{at} s, {limit} lim, {low} low, greatest({reach}) reach"
+
+
+_END = "case when lim < total and reach > 0 then low + reach else lim end"
+ORACLES["x27_chunk"] = f"""with recursive w as (
+select doc_id, text, total, 0 n, {_window('0')} from (select cast(doc_id as varchar) doc_id, text, length(text) total from documents where length(text) > 0) d
+union all select doc_id, text, total, n + 1, {_window('nx')} from (
+  select *, greatest(s + 1, {_END} - 200) nx from w where {_END} < total) v)
+select doc_id, cast(n as integer) n, cast(s as integer) "start", cast({_END} as integer) "end", lim < total and reach = 0 clipped from w"""
+
+
 @query("x28_drop_empty", "select o_orderkey, cast(case when o_orderkey % 2 = 0 then 2 else 1 end as integer) kept from orders")
 def _(s):
     bag = F.create_map(F.lit("status"), "o_orderstatus", F.lit("note"), F.when(F.col("o_orderkey") % 2 == 0, "x").otherwise(""),
