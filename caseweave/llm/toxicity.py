@@ -35,24 +35,41 @@ class Model:
     document: np.ndarray = field(default_factory=lambda: np.zeros(5))
 
 
-def word_kinds(texts: list[list[bytes]], toxic: np.ndarray) -> dict[bytes, int]:
-    """Feature bins (from 1) of the words that stand for toxic texts, by smoothed log-odds and by support."""
-    counts = (Counter(), Counter())
-    around: dict[bytes, set] = defaultdict(set)
-    for words, label in zip(texts, toxic):
-        bare = [w.strip(STRIP) for w in words]
-        counts[int(label)].update(set(bare))
-        if label:
-            for n, word in enumerate(bare):
-                around[word].add((bare[n - 1] if n else b"", bare[n + 1] if n + 1 < len(bare) else b""))
+def number_words(texts: list[bytes]) -> tuple[list[np.ndarray], list[bytes]]:
+    """Each text as numbers of its words without the signs around them, and the words by number."""
+    numbers: dict[bytes, int] = {}
+    raw: dict[bytes, int] = {}
+    out = []
+    for text in texts:
+        row = []
+        for word in words_of(text):
+            n = raw.get(word)
+            if n is None:
+                n = raw[word] = numbers.setdefault(word.strip(STRIP), len(numbers))
+            row.append(n)
+        out.append(np.array(row, np.int32))
+    return out, list(numbers)
+
+
+def word_kinds(texts: list[np.ndarray], toxic: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Feature bin of each word (0: none) for standing in toxic texts, by smoothed log-odds and by support."""
+    seen = np.zeros((2, len(words)), np.int64)
+    for text, label in zip(texts, toxic):
+        seen[int(label), np.unique(text)] += 1
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    kinds = {}
-    for word, seen in counts[1].items():
-        support = sum(len(around[word]) >= s for s in SUPPORT)
-        odds = math.log((seen + 0.5) / (n1 + 1)) - math.log((counts[0][word] + 0.5) / (n0 + 1))
-        level = sum(odds >= b for b in BORDERS)
-        if word and support and level:
-            kinds[word] = 1 + (support - 1) * len(BORDERS) + level - 1
+    odds = np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
+    level = sum((odds >= b).astype(int) for b in BORDERS)
+    open_ = (seen[1] > 0) & (level > 0) & np.array([bool(w) for w in words], bool)
+    around: dict[int, set] = defaultdict(set)
+    for text, label in zip(texts, toxic):
+        if label:
+            for p in np.flatnonzero(open_[text]):
+                around[int(text[p])].add((int(text[p - 1]) if p else -1, int(text[p + 1]) if p + 1 < len(text) else -1))
+    kinds = np.zeros(len(words), np.int8)
+    for word, neighbours in around.items():
+        support = sum(len(neighbours) >= s for s in SUPPORT)
+        if support:
+            kinds[word] = 1 + (support - 1) * len(BORDERS) + level[word] - 1
     return kinds
 
 
@@ -121,7 +138,7 @@ class Tagger:
                 back /= back.sum()
         return at, np.clip(out, 0.0, 1.0)
 
-    def features(self, words: list[bytes], kind: np.ndarray, probability: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def features(self, words: list[bytes], probability: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Aggregates of a document: largest marginal, expected toxic tokens, different toxic words, and their share."""
         if not len(at):
             return np.array([1.0, 0.0, 0.0, 0.0, 0.0])
@@ -134,7 +151,7 @@ class Tagger:
         words = words_of(text)
         kind = self.kinds(words)
         at, probability = self.marginals(kind)
-        value = self.features(words, kind, probability, at) @ self.model.document
+        value = self.features(words, probability, at) @ self.model.document
         spans, place = [], 0
         lowered = text.lower() if len(at) else b""
         n, likely = 0, {int(p): float(m) for p, m in zip(at, probability) if m >= 0.5}
@@ -148,28 +165,28 @@ class Tagger:
         return 1 / (1 + math.exp(-float(np.clip(value, -30, 30)))), spans
 
 
-def _windows(texts: list[list[bytes]], toxic: np.ndarray, kinds: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled token windows around every feature word, and one from each text's middle: kinds and toxic tags.
+def _windows(kinds: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labelled token windows around every feature word, and one from each text's middle: the different ones as kinds and
+    toxic tags, and how often each occurs.
 
     A feature word in a toxic text is a toxic token; every other token is not.
     """
-    rows, tags = [], []
-    for words, label in zip(texts, toxic):
-        kind = np.array([kinds.get(w.strip(STRIP), 0) for w in words], np.int8)
+    found: Counter = Counter()
+    for kind, label in zip(kinds, toxic):
         padded = np.pad(kind, REACH + 1)
-        for p in [*np.flatnonzero(kind)[:50], len(kind) // 2]:
-            row = padded[p:p + 2 * REACH + 3]
-            if len(row) == 2 * REACH + 3:
-                rows.append(row)
-                tags.append((row[1:-1] > 0) & bool(label))
-    return np.array(rows, np.int8).reshape(-1, 2 * REACH + 3), np.array(tags, np.int8).reshape(-1, 2 * REACH + 1)
+        for p in [*np.flatnonzero(kind), *([len(kind) // 2] if len(kind) else [])]:
+            found[padded[p:p + 2 * REACH + 3].tobytes(), bool(label)] += 1
+    rows = np.frombuffer(b"".join(row for row, _ in found), np.int8).reshape(-1, 2 * REACH + 3)
+    tags = ((rows[:, 1:-1] > 0) & np.array([label for _, label in found], bool)[:, None]).astype(np.int8)
+    return rows, tags, np.array(list(found.values()), float)
 
 
-def train_crf(kind: np.ndarray, tag: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
-    """Emission and transition weights of the greatest penalised likelihood, by gradient steps over all windows at once."""
+def train_crf(kind: np.ndarray, tag: np.ndarray, times: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """Emission and transition weights of the greatest penalised likelihood, by gradient steps over all windows at once;
+    times: how often each window counts."""
     emission, transition = np.zeros(3 * KINDS), np.zeros((2, 2))
     emission[0] = -1.0
-    n, width = tag.shape
+    (n, width), total = tag.shape, times.sum()
     slots = np.stack([kind[:, 1:-1], KINDS + kind[:, :-2].astype(int), 2 * KINDS + kind[:, 2:].astype(int)], axis=2).astype(int)
     speed_e, speed_t = np.full_like(emission, 1e-8), np.full_like(transition, 1e-8)
     for _ in range(rounds):
@@ -186,14 +203,14 @@ def train_crf(kind: np.ndarray, tag: np.ndarray, rounds: int = 150, rate: float
         node = forward * back
         node = (node / node.sum(axis=2, keepdims=True))[:, :, 1]
         slope_e = np.zeros_like(emission)
-        np.add.at(slope_e, slots, (tag - node)[:, :, None])
+        np.add.at(slope_e, slots, ((tag - node) * times[:, None])[:, :, None])
         slope_t = np.zeros((2, 2))
         for t in range(width - 1):
             pair = forward[:, t, :, None] * step[None] * (phi[:, t + 1] * back[:, t + 1])[:, None, :]
             pair /= pair.sum(axis=(1, 2), keepdims=True)
-            slope_t -= pair.sum(axis=0)
-            np.add.at(slope_t, (tag[:, t].astype(int), tag[:, t + 1].astype(int)), 1.0)
-        slope_e, slope_t = slope_e / n - decay * emission, slope_t / n - decay * transition
+            slope_t -= (pair * times[:, None, None]).sum(axis=0)
+            np.add.at(slope_t, (tag[:, t].astype(int), tag[:, t + 1].astype(int)), times)
+        slope_e, slope_t = slope_e / total - decay * emission, slope_t / total - decay * transition
         speed_e, speed_t = speed_e + slope_e ** 2, speed_t + slope_t ** 2
         emission, transition = emission + rate * slope_e / np.sqrt(speed_e), transition + rate * slope_t / np.sqrt(speed_t)
     return emission, transition
@@ -213,27 +230,26 @@ def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1.0, rounds: int = 50)
 
 def fit(texts: list[bytes], toxic: list[int]) -> Model:
     """A model of labelled texts. Word features of one half are learnt on the other, so the weights see honest features."""
-    tokens, y = [words_of(t) for t in texts], np.array(toxic, int)
-    model = Model()
+    y, model = np.array(toxic, int), Model()
     if not len(y) or y.min() == y.max():
         model.document[0] = math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
         return model
+    rows, words = number_words(texts)
     half = np.arange(len(y)) % 2
-    folds = []
+    kinds: list[np.ndarray] = [None] * len(rows)
     for side in (0, 1):
-        learn, use = np.flatnonzero(half != side), np.flatnonzero(half == side)
-        kinds = word_kinds([tokens[i] for i in learn], y[learn])
-        folds.append((kinds, use, *_windows([tokens[i] for i in use], y[use], kinds)))
-    model.emission, model.transition = train_crf(np.concatenate([f[2] for f in folds]), np.concatenate([f[3] for f in folds]))
-    x = np.zeros((len(y), 5))
-    for kinds, use, *_ in folds:
-        tagger = Tagger(Model(kinds, model.emission, model.transition))
-        for i in use:
-            kind = tagger.kinds(tokens[i])
-            at, probability = tagger.marginals(kind)
-            x[i] = tagger.features(tokens[i], kind, probability, at)
+        learn = np.flatnonzero(half != side)
+        table = word_kinds([rows[i] for i in learn], y[learn], words)
+        for i in np.flatnonzero(half == side):
+            kinds[i] = table[rows[i]]
+    model.emission, model.transition = train_crf(*_windows(kinds, y))
+    tagger, x = Tagger(model), np.zeros((len(y), 5))
+    for i, kind in enumerate(kinds):
+        at, probability = tagger.marginals(kind)
+        x[i] = tagger.features([words[n] for n in rows[i]] if len(at) else [], probability, at)
     model.document = logistic(x, y)
-    model.kinds = word_kinds(tokens, y)
+    table = word_kinds(rows, y, words)
+    model.kinds = {words[n]: int(table[n]) for n in np.flatnonzero(table)}
     return model
 
 
@@ -249,8 +265,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) ->
              .orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows))
     rows = (known.join(docs.select(F.col("doc_id").alias("label_id"), "text"), "label_id")
             .select("label_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "toxic")
-            .dropDuplicates(["label_id"]).toPandas().sort_values("label_id"))
-    return fit([bytes(t) for t in rows["text"]], [int(t) for t in rows["toxic"]])
+            .groupBy("label_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).toPandas().sort_values("label_id"))
+    return fit(rows["text"].tolist(), [int(t) for t in rows["toxic"]])
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
