@@ -60,10 +60,9 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours is ever built, so a hub costs no more than its partial minima. Self-links and repeated links are
     allowed, nulls are dropped; no edges give no rows.
     """
-    live = cut(edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct())
-    nodes = cut(edges.where("src is not null and dst is not null").select(F.explode(F.array("src", "dst")).alias("node"))
-                .distinct())
-    labels = nodes.withColumn("root", F.col("node"))
+    live = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    labels = cut(live.select(F.explode(F.array("src", "dst")).alias("node")).distinct()).withColumn("root", F.col("node"))
+    live = live.where("src <> dst")
     salt = 0
     while not live.isEmpty():
         def rank(node: str) -> Column:
