@@ -52,6 +52,7 @@ def duplicate_groups(docs: DataFrame, least: int = 512, most: int = 4096) -> Dat
     empty = F.array().cast("array<struct<place:int,id:bigint,variant:int>>")
     listed = cut(slim.join(lists, "row", "left").withColumn("recipe", F.coalesce("recipe", empty))
                  .withColumn("key", F.xxhash64("recipe")))
-    groups = listed.groupBy("key", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # written, so that the join below deals both sides by plain shuffles, whose hot partitions Spark can split
+    groups = cut(listed.groupBy("key", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     return (listed.join(groups, ["key", "recipe"])
             .select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"))
