@@ -103,7 +103,7 @@ def mix(docs: DataFrame, cap: float = 3.0, cycle: int = 3, seed: int = 42) -> Da
     rest as its chance; the cube method fixes those draws so that each source's count and words stay balanced. Null
     texts have no words; a document without words is taken as others are and adds nothing. A null source is a source
     of its own, last in order. Rows that repeat doc_id, source and text are one document of `rows` rows (all are taken
-    equally often; size and taken are those of one of them). Reruns agree: draws are hashes of doc_id and text.
+    equally often; size and taken are those of one of them). Reruns agree: draws and blocks are hashes of doc_id, source and text.
     Columns other than doc_id, source and text are not read.
 
     Flights run on blocks of about 2048 documents of one source; each leaves two undecided at most, which meet in
@@ -121,9 +121,11 @@ def mix(docs: DataFrame, cap: float = 3.0, cycle: int = 3, seed: int = 42) -> Da
                 .withColumn("whole", F.floor(ratio).cast("int")).withColumn("chance", ratio - F.floor(ratio))
                 .withColumn("draw", draw))
     decided = state.where("chance <= 0").select("row", F.lit(0.0).alias("p"))
+    # row only joins the outcome back: it is dealt anew by every run, so blocks and ties go by what names the document
     live = state.where("chance > 0").select("row", "source", (F.col("size") * F.col("rows")).alias("size"),
-                                            F.col("chance").alias("p"), "draw")
-    out = "row long, source string, size long, p double, draw double"
+                                            F.col("chance").alias("p"), "draw", F.col("doc_id").isNull().alias("nameless"),
+                                            F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key")
+    out = "row long, source string, size long, p double, draw double, nameless boolean, id long, text_key long"
     level = 0
     while True:
         counts = cut(live.groupBy("source").count().withColumnRenamed("source", "of"))
@@ -134,15 +136,15 @@ def mix(docs: DataFrame, cap: float = 3.0, cycle: int = 3, seed: int = 42) -> Da
 
         def fly(group: pd.DataFrame) -> pd.DataFrame:
             last = group["last"].iloc[0]
-            group = group.sort_values(["draw", "row"]).reset_index(drop=True)
+            group = group.sort_values(["draw", "nameless", "id", "text_key"]).reset_index(drop=True)
             words = group["size"].to_numpy()
             before = group["p"].to_numpy()
             p = flight(words, before, group["draw"].to_numpy())
             group["p"] = land(words, p, float(np.dot(words, before))) if last else p
-            return group[["row", "source", "size", "p", "draw"]]
+            return group[["row", "source", "size", "p", "draw", "nameless", "id", "text_key"]]
 
         here = (live.join(counts, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-                .withColumn("block", F.pmod(F.xxhash64(F.lit(level), "row"), blocks)).withColumn("last", blocks == 1)
+                .withColumn("block", F.pmod(F.xxhash64(F.lit(level), "nameless", "id", "source", "text_key"), blocks)).withColumn("last", blocks == 1)
                 .drop("count"))
         flown = cut(here.groupBy("source", "block").applyInPandas(fly, out))
         decided = decided.unionByName(flown.where("p <= 0 or p >= 1").select("row", "p"))

@@ -73,3 +73,12 @@ def test_flight_keeps_both_totals():
     assert p.sum() == pytest.approx(chance.sum()) and p @ size == pytest.approx(chance @ size)
     picked = np.mean([mixing.flight(size[:9], np.full(9, 0.3), rnd.random(9)) for _ in range(4000)], axis=0)
     assert np.abs(picked - 0.3).max() < 0.04
+
+
+def test_many_blocks_do_not_depend_on_row_order(spark, docs):
+    rnd = np.random.default_rng(6)
+    rows = [(i if i % 50 else None, f"t{i} " + "w " * int(rnd.integers(1, 90)), "big" if i % 10 else "small") for i in range(9000)]
+    taken = []
+    for table in (docs(rows), docs(rows[::-1]).repartition(5)):
+        taken.append(sorted((r["text_key"], r["copies"]) for r in mixing.mix(table).collect()))
+    assert taken[0] == taken[1]
