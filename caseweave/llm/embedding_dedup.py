@@ -38,7 +38,7 @@ def fit_cells(reps: DataFrame, sample: int = 32_768) -> dict[tuple, np.ndarray]:
              .orderBy(F.desc("count"), "label", "dim").limit(GROUPS).collect())
     if not sizes:
         return {}
-    rows = (reps.select("label", "dim", "embedding", F.xxhash64("rep").alias("h")).orderBy("h").limit(sample)
+    rows = (reps.select("label", "dim", "embedding", "h").orderBy("h").limit(sample)
             .select("label", "dim", "embedding").toPandas())
     cells = {}
     groups = {key: np.stack(part["embedding"].to_numpy()).astype(float) for key, part in rows.groupby(["label", "dim"])}
@@ -56,7 +56,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, margin: float | No
     Vectors of one label link at a cosine of `threshold` or more, in double precision; n_links counts the other vectors
     linked directly, component_id is the smallest vec_id reachable and kept marks it. Vectors that are null, zero, hold
     a null or non-finite number or have a null label link with nothing, nor do vectors of different lengths. Rows that
-    repeat a vec_id are one node with the links of all of them. Other columns are not read; no rows give no rows.
+    repeat a vec_id are one node with the links of all of them; a null vec_id takes part, and is the component_id only
+    where a component has no other, so that all its rows are kept. Other columns are not read; no rows give no rows.
 
     Equal vectors are compared once, with their number. Each vector goes to the cell of its nearest centre and meets
     the vectors of another cell only if it is within `margin` of the plane between both centres. The default margin,
@@ -71,7 +72,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, margin: float | No
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"),
                           "label").withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("h", F.xxhash64("embedding"))
     reps = cut(rows.where("fine").groupBy("label", "h", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-               .where("rep is not null").withColumn("dim", F.size("embedding")))
+               .withColumnRenamed("rep", "low").withColumn("own", F.monotonically_increasing_id())
+               .withColumn("dim", F.size("embedding")))
+    # rep only names a node: distinct vectors of one smallest vec_id are one, and so is each without any
+    node = reps.where("low is not null").groupBy("low").agg(F.min("own").alias("rep"))
+    reps = cut(reps.where("low is not null").join(node, "low").unionByName(reps.where("low is null").withColumn("rep", F.col("own"))).drop("own"))
     kind = dict(reps.dtypes)["label"]
     centres = vectors.sparkSession.sparkContext.broadcast(fit_cells(reps, sample))
 
@@ -134,10 +139,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, margin: float | No
     found = cut(tasks.groupBy("label", "dim", "lo", "hi").applyInPandas(compare, "rep long, links long, root long"))
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-    named = (reps.select("label", "h", "embedding", "rep", "copies").join(totals, "rep", "left")
-             .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-             .select("label", "h", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                     F.coalesce("component", "rep").alias("component_id")))
+    grouped = cut(reps.select("label", "h", "embedding", "rep", "low", "copies").join(totals, "rep", "left")
+                  .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+                  .select("label", "h", "embedding", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+                          F.coalesce("component", "rep").alias("component")))
+    lowest = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = grouped.join(lowest, "component").select("label", "h", "embedding", "n_links", "component_id")
     good = rows.where("fine").join(named, ["label", "h", "embedding"]).select("vec_id", "n_links", "component_id")
     bad = rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(bad).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

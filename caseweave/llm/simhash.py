@@ -5,10 +5,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.llm.common import components, cut, fresh
+from caseweave.llm.common import components, cut, fresh, text_key
 
 #: First bits and widths of the three segments: of at most four differing bits, one segment has at most one.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -36,14 +36,15 @@ def fingerprint(text: bytes, words: int = 4) -> int:
     return int.from_bytes(np.packbits(over).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row; a null text counts as empty. Whole texts are read, none is shuffled."""
+def fingerprints(docs: DataFrame, words: int = 4, *more: Column) -> DataFrame:
+    """(doc_id, fp) and `more` of every row; a null text counts as empty. Whole texts are read, none is shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [fingerprint(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
-    return (docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-            .mapInArrow(run, "doc_id long, fp long"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64()), *batch.columns[2:]],
+                                             names=["doc_id", "fp", *batch.schema.names[2:]])
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *more)
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{n} {t}" for n, t in rows.dtypes[2:])]))
 
 
 def variants(prints: DataFrame) -> DataFrame:
@@ -139,6 +140,17 @@ def links(prints: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "src long, dst long").distinct()
 
 
+def _groups(found: DataFrame) -> DataFrame:
+    """(of, component, component_id) of every distinct fingerprint of found: the fingerprint that names its component,
+    also where no doc_id does, and the component's smallest doc_id."""
+    distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    joined = components(links(distinct.select("fp")))
+    grouped = distinct.join(joined, distinct["fp"] == joined["node"], "left").select(
+        "fp", "low", F.coalesce("component", "fp").alias("component"))
+    low = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
+    return cut(grouped.join(low, "component").select(F.col("fp").alias("of"), "component", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, fp, fingerprint as 16 hex digits, component_id) of every row.
 
@@ -148,24 +160,25 @@ def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
     other. Other columns are not read. An empty table gives no rows.
     """
     found = cut(fingerprints(docs, words))
-    distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    joined = components(links(distinct.select("fp")))
-    grouped = distinct.join(joined, distinct["fp"] == joined["node"], "left").select(
-        "fp", "low", F.coalesce("component", "fp").alias("component"))
-    low = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = cut(grouped.join(low, "component").select(F.col("fp").alias("of"), "component_id"))
+    named = _groups(found)
     return found.join(named, found["fp"] == named["of"]).select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 4) -> DataFrame:
-    """docs without near-duplicates: of each component the row of the smallest doc_id stays, columns unchanged.
+    """docs without near-duplicates: of each component one row stays, columns unchanged.
 
-    Rows that repeat the doc_id that stays are one document; one of them stays. Rows with a null doc_id stay only if
-    nothing else is in their component.
+    It is the row of the smallest doc_id, of several with that doc_id the one of the smallest text hash; rows with a
+    null doc_id come last, so one of them stays only if nothing else is in its component. Components are told apart by
+    fingerprints: a doc_id that repeats, or is null, in several of them has a row in each. Of rows equal in doc_id and
+    text any one stays.
     """
-    (own,) = fresh(docs, "__keep_id")
-    keep = near_duplicates(docs, words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias(own)).distinct()
-    joined = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(own)))
-    return joined.dropDuplicates([own]).select(*docs.columns)
+    own_id, own_key = fresh(docs, "__keep_id", "__keep_key")
+    found = cut(fingerprints(docs, words, text_key(F.col("text")).alias("text_key")))
+    named = _groups(found)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")).alias("first")
+    per_print = found.groupBy("fp").agg(first)
+    keep = cut(per_print.join(named, per_print["fp"] == named["of"]).groupBy("component").agg(F.min("first").alias("first"))
+               .select(F.col("first.doc_id").alias(own_id), F.col("first.text_key").alias(own_key)))
+    joined = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (text_key(F.col("text")) == F.col(own_key)))
+    return joined.dropDuplicates([own_id, own_key]).select(*docs.columns)

@@ -54,3 +54,12 @@ def test_links_equal_brute_force(spark, monkeypatch, block):
 def test_no_vectors(spark):
     assert near_vectors(frame(spark, [])).count() == 0
     assert [tuple(r) for r in near_vectors(frame(spark, [(3, None, None)])).collect()] == [(3, 0, 3, True)]
+
+
+def test_vectors_without_an_id_come_back(spark):
+    rows = [(None, [1.0, 0.0], 1), (None, [1.0, 0.01], 1), (None, [0.0, 1.0], 1), (5, [0.01, 1.0], 1), (None, [1.0, 0.0], 2),
+            (6, [1.0, 0.0], 3), (6, [0.0, 1.0], 3), (7, [0.01, 1.0], 3)]
+    found = near_vectors(frame(spark, rows)).collect()
+    assert sorted((tuple(r) for r in found), key=str) == sorted([
+        (None, 1, None, True), (None, 1, None, True), (None, 1, 5, False), (5, 1, 5, True), (None, 0, None, True),
+        (6, 1, 6, True), (6, 1, 6, True), (7, 1, 6, False)], key=str)

@@ -84,3 +84,10 @@ def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(200, 200), (300, 299), (300, 299), (None, 5)]
     found = dict(tuple(r) for r in components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect())
     assert found == {**{i: 0 for i in range(61)}, **{k: 100 for k in range(100, 140)}, 200: 200, 300: 299, 299: 299}
+
+
+def test_one_row_of_each_component_stays_without_an_id_too(docs):
+    rows = [(None, "alpha beta gamma"), (None, "delta epsilon zeta"), (None, "delta epsilon zeta"), (7, "eta theta iota"),
+            (None, "eta theta iota"), (8, "kappa lambda mu"), (8, "nu xi omicron"), (9, "nu xi omicron")]
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(docs(rows)).collect()), key=str)
+    assert kept == sorted([rows[0], rows[1], rows[3], rows[5], rows[6]], key=str)
