@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseweave.llm.common import cut, partitions
+
 
 def _turns(side: str) -> Column:
     """A side's turns in order of turn, ties by role and text."""
@@ -76,18 +78,42 @@ def swapped_replies(conversations: DataFrame, role: str = "assistant") -> tuple[
     return chosen.select("pair_id", "turn", "role", "text"), kept.unionByName(end)
 
 
-def shared_openings(conversations: DataFrame, block: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """Pairs (pair_id = 2 conv_id + 1) of a conversation and the next one that opens with the same turn.
+def _openings(rows: DataFrame) -> DataFrame:
+    """(conv_id, role, text): the first turn of every conversation, ties by role and text; nulls count as empty."""
+    return rows.groupBy("conv_id").agg(F.min(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"),
+                                                      F.coalesce("text", F.lit("")).alias("text"))).alias("o")).select("conv_id", "o.role", "o.text")
+
+
+def _pair_sides(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    chosen = rows.join(pairs, "conv_id").select((F.col("conv_id") * 2 + 1).alias("pair_id"), "turn", "role", "text")
+    rejected = rows.join(pairs.select(F.col("next").alias("conv_id"), (F.col("conv_id") * 2 + 1).alias("pair_id")), "conv_id")
+    return chosen, rejected.select("pair_id", "turn", "role", "text")
+
+
+def next_openings(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (pair_id = 2 conv_id + 1) of a conversation and the next one of the whole table that opens with the same turn.
 
-    The next is looked for among the conversations of one block of `block` consecutive ids, so an opening that very
-    many share is many small groups. The smaller conv_id is chosen.
+    Openings are dealt by ranges of (role, text, conv_id), so one that very many share is many ranges; the first
+    opening of each range is carried back to the last one of the range before. The smaller conv_id is chosen.
+    """
+    rows = conversations.where("conv_id is not null and turn is not null").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    order = ["role", "text", "conv_id"]
+    dealt = cut(_openings(rows).repartitionByRange(partitions(conversations.sparkSession), *order).withColumn("part", F.spark_partition_id()))
+    first = dealt.groupBy("part").agg(F.min(F.struct(*order)).alias("first"))  # a row per range, however many rows it has
+    ahead = first.select("part", F.lead("first").over(Window.orderBy("first")).alias("ahead"))
+    here = F.lead(F.struct(*order)).over(Window.partitionBy("part").orderBy(*order))
+    follow = dealt.withColumn("here", here).join(ahead, "part").withColumn("then", F.coalesce("here", "ahead"))
+    pairs = follow.where((F.col("then.role") == F.col("role")) & (F.col("then.text") == F.col("text"))).select(
+        "conv_id", F.col("then.conv_id").alias("next"))
+    return _pair_sides(rows, pairs)
+
+
+def shared_openings(conversations: DataFrame, block: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """The pairs of next_openings whose next conversation is in the same block of `block` consecutive ids; for each
+    conversation the next one within its block. The smaller conv_id is chosen.
     """
     rows = conversations.where("conv_id is not null and turn is not null").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    opening = rows.groupBy("conv_id").agg(F.min(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"),
-                                                         F.coalesce("text", F.lit("")).alias("text"))).alias("o"))
     within = Window.partitionBy("role", "text", "block").orderBy("conv_id")
-    pairs = (opening.select("conv_id", "o.role", "o.text", F.floor(F.col("conv_id") / block).alias("block"))
+    pairs = (_openings(rows).withColumn("block", F.floor(F.col("conv_id") / block))
              .withColumn("next", F.lead("conv_id").over(within)).where("next is not null").select("conv_id", "next"))
-    chosen = rows.join(pairs, "conv_id").select((F.col("conv_id") * 2 + 1).alias("pair_id"), "turn", "role", "text")
-    rejected = rows.join(pairs.select(F.col("next").alias("conv_id"), (F.col("conv_id") * 2 + 1).alias("pair_id")), "conv_id")
-    return chosen, rejected.select("pair_id", "turn", "role", "text")
+    return _pair_sides(rows, pairs)

@@ -115,7 +115,7 @@ select pair_id, any_value(n)::int as prefix_turns,
 from rendered group by pair_id""")
 def op9(spark, folder):
     conversations = table(spark, folder, "conversations")
-    sides = [a.unionByName(b) for a, b in zip(chat.swapped_replies(conversations), chat.shared_openings(conversations))]
+    sides = [a.unionByName(b) for a, b in zip(chat.swapped_replies(conversations), chat.next_openings(conversations))]
     return chat.format_preferences(*sides)
 
 

@@ -54,3 +54,15 @@ def test_pairs_from_conversations(spark):
     assert sorted(tuple(r) for r in rejected.collect()) == [(0, 0, "user", "hi"), (0, 1, "assistant", "B"), (2, 0, "user", "hi"), (2, 1, "assistant", "A")]
     chosen, rejected = chat.shared_openings(table)
     assert {r["pair_id"] for r in chosen.collect()} == {r["pair_id"] for r in rejected.collect()} == {1, 3}
+
+
+def test_next_openings_over_the_whole_table(spark):
+    ids = [1, 1023, 1024, 5000, 70_000, 9_000_000_000] + list(range(100_000, 100_300))
+    rows = [(c, 0, "user", "hi") for c in ids] + [(c, 1, "assistant", f"r{c}") for c in ids] + [
+        (2, 0, "user", None), (3000, 4, "user", ""), (4, 0, "user", "alone"), (6, 0, "system", "hi"), (None, 0, "user", "hi")]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(7)
+    chosen, rejected = chat.next_openings(table)
+    follow = dict(zip(sorted(ids), sorted(ids)[1:])) | {2: 3000}
+    assert {r["pair_id"] for r in chosen.collect()} == {2 * c + 1 for c in follow}
+    found = {(r["pair_id"], r["text"]) for r in rejected.where("turn = 1").collect()}
+    assert found == {(2 * c + 1, f"r{n}") for c, n in follow.items() if n != 3000}
