@@ -90,7 +90,7 @@ class WordEncoder:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
-        missing = set().union(*split) - known.keys()
+        missing = {word for words in split for word in words if word not in known}
         new = self._learn(missing)
         long = {w: ids for w, ids in new.items() if len(w) > CACHE_BYTES}
         known.update((w, ids) for w, ids in new.items() if len(w) <= CACHE_BYTES)
