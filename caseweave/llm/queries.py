@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import (chat, embedding_dedup, exact_dedup, line_dedup, mixing, packing, secret_scan, simhash,
-                           suffix_dedup, toxicity)
+from caseweave.llm import (chat, embedding_dedup, exact_dedup, line_dedup, mixing, packing, quality_rules, secret_scan,
+                           simhash, suffix_dedup, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +131,23 @@ d as (select l.doc_id, coalesce(string_agg(l.line, chr(10) order by l.place) fil
 select doc_id, text, n_lines, n_removed from d union all select doc_id, null, 0, 0 from documents where text is null""")
 def op10(spark, folder):
     return line_dedup.dedupe_lines(table(spark, folder, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query("op13_quality_rules", r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+  [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] as l from documents),
+g as (select r, i, array_to_string(w[i:i + 4], ' ') as g from d, unnest(generate_series(1, len(w) - 4)) as s(i)),
+c as (select r, count(distinct i + k) as n from (select r, i from g qualify count(*) over (partition by r, g) > 1),
+  unnest([0, 1, 2, 3, 4]) as s(k) group by r),
+m as (select doc_id, w, l, len(w)::bigint as n_words, coalesce(list_sum([length(x) for x in w]), 0)::bigint as word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
+  coalesce(n, 0)::bigint as n_repeat_words from d left join c using (r)),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and word_chars between 3 * n_words and 10 * n_words and 10 * n_symbols <= n_words
+  and 10 * n_dup_lines <= 3 * len(l) and 10 * len([x for x in w if regexp_matches(x, '\pL')]) >= 8 * n_words
+  and 10 * len([x for x in l if regexp_matches(x, '^[ \t]*[-*•][ \t]*[^\x20\x09-\x0D]')]) <= 9 * len(l)
+  and 10 * len([x for x in l if regexp_matches(x, '(\.\.\.|…)[ \t\r]*$')]) <= 3 * len(l) as kept from b""")
+def op13(spark, folder):
+    return quality_rules.judge_quality(table(spark, folder, "documents"))
