@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import (chat, embedding_dedup, exact_dedup, line_dedup, mixing, packing, quality_rules, secret_scan,
-                           simhash, suffix_dedup, toxicity)
+from caseweave.llm import (chat, embedding_dedup, exact_dedup, line_dedup, mixing, packing, periodic_runs,
+                           quality_rules, secret_scan, simhash, suffix_dedup, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,6 +133,11 @@ def op10(spark, folder):
     return line_dedup.dedupe_lines(table(spark, folder, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+@query("op12_periodic_runs")
+def op12(spark, folder):
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(table(spark, folder, "documents"), periodic_runs.looped))
+
+
 @query("op13_quality_rules", r"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t,
   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,

@@ -73,7 +73,7 @@ def test_later_rules_are_not_looked_at(docs):
 
 def test_empty_table_and_kept_rows(docs):
     assert Q.judge_quality(docs([])).count() == 0
-    good = " ".join(f"plain{i % 17}words{i}" for i in range(30))
+    good = " ".join(f"plain{i}" for i in range(30))
     frame = docs([(1, good), (2, None), (3, "too short"), (None, good)])
     kept = Q.keep_good(frame)
     assert kept.columns == frame.columns
