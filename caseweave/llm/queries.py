@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseweave.llm import (chat, embedding_dedup, exact_dedup, line_dedup, mixing, packing, periodic_runs,
-                           quality_rules, secret_scan, simhash, suffix_dedup, toxicity)
+                           prefix_trie, quality_rules, secret_scan, simhash, suffix_dedup, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,6 +133,31 @@ def op10(spark, folder):
     return line_dedup.dedupe_lines(table(spark, folder, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+@query("op11_conversation_trie", """
+with t as (select conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as words,
+  md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as d from conversations where conv_id is not null),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, d) - 1 as place from t),
+i as (select distinct conv_id, conv_id - conv_id % 20 as lead from t),
+h as (select *, (xor(list_reduce([ascii(x)::bigint for x in string_split(conv_id::varchar, '')], lambda c, b:
+  list_reduce(range(8)::bigint[], lambda v, k: xor(v >> 1, 3988292384 * (v & 1)), xor(c, b)), 4294967295::bigint), 4294967295) % 4) as h from i),
+r as (select h.conv_id, 0 as side, place, d, words from h join o on o.conv_id = h.lead where place < h
+  union all select h.conv_id, 1, place, d, words from h join o on o.conv_id = h.conv_id where place >= h),
+p as (select conv_id, words, string_agg(d, '') over w as k, row_number() over w as depth, count(*) over (partition by conv_id) as n from r
+  window w as (partition by conv_id order by side, place)),
+m as (select conv_id, words, k, depth, depth = n as ends from p union all
+  select conv_id, 0, '', 0, conv_id not in (select conv_id from r) from i),
+n as (select k, depth, min(conv_id) as conv_id, count(*) as n_convs, max(words) as words,
+  coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '') as ids from m group by k, depth),
+c as (select left(k, 32 * (depth - 1)) as k, count(*) as n_children from n where depth > 0 group by 1),
+f as (select n.*, coalesce(n_children, 0) as n_children from n left join c using (k)),
+a as (select left(k, 32 * j) as k, sum((n_children = 0)::bigint)::bigint as n_leaves, sum((n_convs - 1) * words)::bigint as saved_tokens
+  from f, unnest(generate_series(0, depth)) as s(j) group by 1)
+select f.conv_id, f.depth, u.conv_id as parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, sha256(f.ids) as ends_sha256
+from f join a using (k) left join n u on f.depth > 0 and u.k = left(f.k, 32 * (f.depth - 1))""")
+def op11(spark, folder):
+    return prefix_trie.prefix_trie(*prefix_trie.with_shared_openings(table(spark, folder, "conversations")))
+
+
 @query("op12_periodic_runs")
 def op12(spark, folder):
     return periodic_runs.run_digests(periodic_runs.periodic_runs(table(spark, folder, "documents"), periodic_runs.looped))
