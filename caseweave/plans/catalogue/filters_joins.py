@@ -272,8 +272,7 @@ def _(s):
                                          F.count_if(F.col("sentence_index") == 2).alias("last_sentence"))
 
 
-@query("j10_locate_quotes", """select doc_id, cast(1 as bigint) hits from texts where length(text) > 0
-and regexp_matches(text, '[^ \\t\\n\\r\\f\\x0b]+[ \\t\\n\\r\\f\\x0b]+[^ \\t\\n\\r\\f\\x0b]')""")
+@query("j10_locate_quotes", """select doc_id, cast(1 as bigint) hits from texts where regexp_matches(text, '[^ \\t\\n\\r\\f\\x0b]')""")
 def _(s):
     from ...operators.proposals import locate_quotes
     from ...functions.identifiers import squeeze
