@@ -36,6 +36,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def settle(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a DataFrame as a table below the shared root and read it back: computed once, and nothing of its plan stays."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for heavy text work on an input with fewer splits than cores.
 
