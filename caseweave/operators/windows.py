@@ -32,6 +32,19 @@ def running_max(df: DataFrame, keys: list[str], order: str, outputs: dict[str, C
                          *[F.greatest(f"__in_{n}", f"__b_{n}").alias(n) for n in outputs])
 
 
+def running_sum(df: DataFrame, keys: list[str], order: str, outputs: dict[str, Column], block: int = BLOCK) -> DataFrame:
+    """Add the running sum (all rows of the current ``order`` value included) of each output expression."""
+    tmp = df.withColumns({f"__v_{n}": c for n, c in outputs.items()}).withColumn("__block", F.floor(F.col(order) / block))
+    inside = (Window.partitionBy(*keys, "__block").orderBy(order)
+              .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    tmp = tmp.withColumns({f"__in_{n}": F.sum(f"__v_{n}").over(inside) for n in outputs})
+    summary = tmp.groupBy(*keys, "__block").agg(*[F.sum(f"__v_{n}").alias(f"__m_{n}") for n in outputs])
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.select(*keys, "__block", *[F.sum(f"__m_{n}").over(before).alias(f"__b_{n}") for n in outputs])
+    return tmp.join(carried, [*keys, "__block"]).select(
+        *[F.col(c) for c in df.columns], *[(F.col(f"__in_{n}") + F.coalesce(f"__b_{n}", F.lit(0))).alias(n) for n in outputs])
+
+
 def number_rows(df: DataFrame, keys: list[str], order: str, tie: list[str] | None = None,
                 name: str = "row_number", block: int = BLOCK) -> DataFrame:
     """1-based row number per key; ``order`` is an integer position column."""
