@@ -38,7 +38,9 @@ def duplicate_groups(docs: DataFrame, least: int = 512, most: int = 4096) -> Dat
 
     Texts are equal when identical after lower-casing A-Z; the largest doc_id of a group stays. A null text counts as
     empty, and all empty texts are one group. Rows that repeat a doc_id are rows of their group like any other (each
-    comes back, and kept is true for each that carries keep_id). Other columns are not read.
+    comes back, and kept is true for each that carries keep_id); a row without doc_id stays only where its whole group has
+    none, and then one of them does. A text of any length is chunked within its row. An empty table gives no rows. Other
+    columns are not read.
 
     Chunks get identifiers that are unique for their bytes (64-bit hash, and a variant should two contents share one,
     told apart by SHA-256); a document is the ordered list of its identifiers. Only hashes move. A group's size and
@@ -53,6 +55,7 @@ def duplicate_groups(docs: DataFrame, least: int = 512, most: int = 4096) -> Dat
     listed = cut(slim.join(lists, "row", "left").withColumn("recipe", F.coalesce("recipe", empty))
                  .withColumn("key", F.xxhash64("recipe")))
     # written, so that the join below deals both sides by plain shuffles, whose hot partitions Spark can split
-    groups = cut(listed.groupBy("key", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
+    groups = cut(listed.groupBy("key", "recipe").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count("*").alias("group_size")))
+    kept = F.coalesce(F.col("doc_id") == F.col("top.doc_id"), F.col("top.doc_id").isNull() & (F.col("row") == F.col("top.row")))
     return (listed.join(groups, ["key", "recipe"])
-            .select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"))
+            .select("doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256"))

@@ -50,7 +50,7 @@ def op3(spark, folder):
 @query("op4_exact_dedup", """
 with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
 g as (select x, max(doc_id) as keep_id, count(*) as group_size from t group by x)
-select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t.x) as text_sha256 from t join g using (x)""")
+select t.doc_id, g.keep_id, g.group_size, coalesce(t.doc_id = g.keep_id, g.keep_id is null and row_number() over (partition by x) = 1) as kept, sha256(t.x) as text_sha256 from t join g using (x)""")
 def op4(spark, folder):
     return exact_dedup.duplicate_groups(table(spark, folder, "documents"))
 

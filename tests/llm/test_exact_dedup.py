@@ -13,17 +13,20 @@ def brute(rows):
     groups = {}
     for doc, text in rows:
         groups.setdefault(lower(text), []).append(doc)
-    out = []
+    out, nameless = [], set()
     for doc, text in rows:
         ids = groups[lower(text)]
         keep = max((i for i in ids if i is not None), default=None)
-        out.append((doc, keep, len(ids), None if doc is None else doc == keep, hashlib.sha256(lower(text).encode()).hexdigest()))
+        kept = doc == keep if keep is not None else lower(text) not in nameless
+        if keep is None:
+            nameless.add(lower(text))
+        out.append((doc, keep, len(ids), kept, hashlib.sha256(lower(text).encode()).hexdigest()))
     return sorted(out, key=str)
 
 
 def test_groups_equal_brute_force(docs):
     rows = [(1, "Same"), (2, "sAME"), (3, "same "), (4, None), (5, ""), (6, LONG), (7, LONG.upper()), (8, LONG + "!"), (9, "É"), (10, "é"),
-            (11, "x" * 9000), (12, "x" * 9001), (13, "x" * 9000), (14, "same"), (14, "same"), (15, "\n"), (16, "\n\n")]
+            (11, "x" * 9000), (12, "x" * 9001), (13, "x" * 9000), (14, "same"), (14, "same"), (15, "\n"), (16, "\n\n"), (None, "nobody's"), (None, "Nobody's"), (None, "same")]
     found = exact_dedup.duplicate_groups(docs(rows))
     assert sorted([tuple(r) for r in found.collect()], key=str) == brute(rows)
     assert exact_dedup.duplicate_groups(docs([])).count() == 0
