@@ -291,7 +291,8 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> Dat
 
 
 def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+    """Whether a row is kept from the training; one without doc_id has no label to be kept from it."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 8_000) -> DataFrame:

@@ -82,3 +82,8 @@ def test_marginals_equal_all_tag_sequences():
             total, marks = total + w, marks + w * np.array(tags)
         at, got = tagger.marginals(kind)
         assert np.allclose(got, (marks / total)[at])
+
+
+def test_a_row_without_id_is_not_held_out(docs):
+    frame = docs([(None, "x"), (1, "y")]).withColumn("held", toxicity.held_out())
+    assert {r.doc_id: r.held for r in frame.collect()} == {None: False, 1: zlib.crc32(b"1") % 3 == 1}
