@@ -106,14 +106,3 @@ def next_openings(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = follow.where((F.col("then.role") == F.col("role")) & (F.col("then.text") == F.col("text"))).select(
         "conv_id", F.col("then.conv_id").alias("next"))
     return _pair_sides(rows, pairs)
-
-
-def shared_openings(conversations: DataFrame, block: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """The pairs of next_openings whose next conversation is in the same block of `block` consecutive ids; for each
-    conversation the next one within its block. The smaller conv_id is chosen.
-    """
-    rows = conversations.where("conv_id is not null and turn is not null").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    within = Window.partitionBy("role", "text", "block").orderBy("conv_id")
-    pairs = (_openings(rows).withColumn("block", F.floor(F.col("conv_id") / block))
-             .withColumn("next", F.lead("conv_id").over(within)).where("next is not null").select("conv_id", "next"))
-    return _pair_sides(rows, pairs)

@@ -95,7 +95,7 @@ with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '')
 last as (select conv_id, max(turn) as pos, max_by(text, turn) as reply from c where role = 'assistant' group by conv_id),
 swap as (select a.conv_id, a.pos, b.reply from last a join last b on b.conv_id = xor(a.conv_id, 1)),
 opening as (select conv_id, min_by(role, turn) as role, min_by(text, turn) as text from c group by conv_id),
-pairs as (select * from (select conv_id, lead(conv_id) over (partition by role, text, conv_id // 1024 order by conv_id) as nxt from opening) where nxt is not null),
+pairs as (select * from (select conv_id, lead(conv_id) over (partition by role, text order by conv_id) as nxt from opening) where nxt is not null),
 sides as (
   select conv_id * 2 as pair_id, 'c' as side, turn, role, text from c join swap using (conv_id)
   union all select conv_id * 2, 'r', turn, role, text from c join swap using (conv_id) where turn < pos

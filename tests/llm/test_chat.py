@@ -52,8 +52,8 @@ def test_pairs_from_conversations(spark):
     assert sorted(tuple(r) for r in chosen.collect()) == [(0, 0, "user", "hi"), (0, 1, "assistant", "A"), (2, 0, "user", "hi"),
                                                            (2, 1, "assistant", "B"), (2, 2, "user", "bye")]
     assert sorted(tuple(r) for r in rejected.collect()) == [(0, 0, "user", "hi"), (0, 1, "assistant", "B"), (2, 0, "user", "hi"), (2, 1, "assistant", "A")]
-    chosen, rejected = chat.shared_openings(table)
-    assert {r["pair_id"] for r in chosen.collect()} == {r["pair_id"] for r in rejected.collect()} == {1, 3}
+    chosen, rejected = chat.next_openings(table)
+    assert {r["pair_id"] for r in chosen.collect()} == {r["pair_id"] for r in rejected.collect()} == {1, 3, 5}
 
 
 def test_next_openings_over_the_whole_table(spark):
