@@ -10,7 +10,7 @@ from ...operators import leads as L
 from ...operators import lifecycle as C
 from ...operators import ranking as T
 from ...operators.iteration import scratch_path
-from ...sources import store
+from ...sources import delta, store
 from ...sources.originals import original
 from .. import reports as R
 from ..reference_graph import reference_graph_stats, union_reference_graph
@@ -416,6 +416,21 @@ def _(s):
     return read("relationships").union(read("sightings")).union(read("entities"))
 
 
+@query("s9_delta_store", """select case_id, count(distinct (report_id, id)) n, count(distinct (report_id, id)) filter (amount >= 50000) renewed,
+(select count(distinct (case_id, report_id, id)) from ev where amount >= 50000) written from ev group by 1""")
+def _(s):
+    """All edges, then the dear ones again with a review: the second delta holds those only, and readers see both as one."""
+    root, keys = scratch_path(s.spark, "deltas"), delta.TABLE_KEYS["relationships"]
+    first = s.edges().select("case_id", "report_id", "id", "source", "target", "amount", "review_status", F.lit(1).alias("created_at"))
+    second = first.filter("amount >= 50000").withColumns({"review_status": F.lit("accepted"), "created_at": F.lit(2)})
+    delta.save({"relationships": first}, root, "run-1")
+    written = delta.save({"relationships": second}, root, "run-2")["relationships"].rows
+    delta.save({"relationships": second}, root, "run-2")  # a retry
+    table = delta.read(s.spark, root, "relationships", first.schema, keys).filter("created_at = 1")
+    return table.groupBy("case_id").agg(F.count("*").alias("n"), F.count_if(F.col("review_status") == "accepted").alias("renewed"),
+                                        F.lit(written).cast("bigint").alias("written"))
+
+
 @query("s10_write_graph", """select 'edges' part, case_id, count(*) n from ev join supplier on s_key = s_suppkey where s_acctbal >= 0 group by 2 union all
 select 'nodes', case_id, count(*) from ent left join supplier on id = concat('supplier:', s_suppkey) where coalesce(s_acctbal, 0) >= 0 group by 2""")
 def _(s):
