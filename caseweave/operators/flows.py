@@ -65,6 +65,17 @@ def coordinated(transfers: DataFrame, within: int, least: int = 3) -> DataFrame:
     return counted.filter(F.col("paid") & (F.col("senders") >= least)).select("case_id", "target", "at", "senders")
 
 
+def receipts_before(transfers: DataFrame, within: int) -> DataFrame:
+    """(case_id, account, id, prior_id): every receipt of an account at most ``within`` seconds before a transfer out of it.
+
+    Both sides meet by account and bucket of time, a receipt in its own bucket and the next one.
+    """
+    out = transfers.select("case_id", F.col("source").alias("account"), "id", "at", F.expr(f"at div {max(within, 1)}").alias("bucket"))
+    into = in_buckets(transfers.select("case_id", F.col("target").alias("account"), F.col("id").alias("prior_id"), "at"), max(within, 1))
+    met = out.join(into.withColumnRenamed("at", "prior_at"), ["case_id", "account", "bucket"])
+    return met.filter((F.col("prior_at") <= F.col("at")) & (F.col("at") - F.col("prior_at") <= within)).select("case_id", "account", "id", "prior_id")
+
+
 def call_paths(calls: DataFrame, most: int, within: int | None = None) -> DataFrame:
     """(case_id, id, length, prior_id): for every call and length up to ``most`` such that a chain of so many calls ends in
     it, each made by whom the one before reached, later and at most ``within`` seconds later; prior_id is the call before.

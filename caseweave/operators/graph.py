@@ -53,7 +53,8 @@ def pagerank(nodes: DataFrame, pairs: DataFrame, alpha: float = 0.85, tol: float
     A hub's links are spread over several salts (its node row is repeated per
     salt), so no join key exceeds EDGES_PER_SALT rows.  Isolated nodes all hold
     the same rank, hence their redistributed mass is a row-local recurrence and
-    an iteration needs one join and one sum.
+    an iteration needs one join and one sum.  Ranks that still move by more than ``tol`` a node after ``max_iter``
+    iterations are an error; without ``tol`` exactly ``max_iter`` iterations are made.
     """
     loops = pairs.filter("a = b").select("case_id", F.col("a").alias("id"), F.col("a").alias("neighbor"))
     links = both_directions(pairs).unionByName(loops)
@@ -81,6 +82,9 @@ def pagerank(nodes: DataFrame, pairs: DataFrame, alpha: float = 0.85, tol: float
             ranks = cut(ranks)
             if tol is not None and not _moving(ranks, tol):
                 break
+    else:
+        if tol is not None:
+            raise RuntimeError(f"ranks still move by more than {tol} a node after {max_iter} iterations")
     return ranks.select("case_id", "id", F.col("rank").alias("pagerank"))
 
 
