@@ -140,7 +140,7 @@ def betweenness(nodes: DataFrame, pairs: DataFrame, dense_nodes: int = DENSE_NOD
     """
     sizes = nodes.groupBy("case_id").agg(F.count("*").alias("n"))
     vertices = nodes.select("case_id", "id").distinct()
-    sources = vertices if pivots is None else top_k(vertices, ["case_id"], [F.xxhash64("id"), F.col("id")], pivots)
+    sources = vertices if pivots is None else top_k(vertices, ["case_id"], [F.md5("id"), F.col("id")], pivots)
     proper = pairs.filter("a <> b").join(sizes, "case_id")
     case_type = dict(nodes.dtypes)["case_id"]
     blocks = F.ceil(F.col("n") / SOURCES_PER_TASK).cast("int")
@@ -159,7 +159,7 @@ def betweenness(nodes: DataFrame, pairs: DataFrame, dense_nodes: int = DENSE_NOD
         source_rounds = source_rounds or int(-(-volume // ROUND_ROWS))
         links = cut(both_directions(proper.filter(F.col("n") > dense_nodes)).select("case_id", "id", "neighbor"))
         raw = raw.unionByName(reduce(lambda a, b: a.unionByName(b), [
-            _layered_betweenness(large_nodes.filter(F.pmod(F.hash("id"), F.lit(source_rounds)) == r), links)
+            layered_dependencies(large_nodes.filter(F.pmod(F.hash("id"), F.lit(source_rounds)) == r), links).drop("squares")
             for r in range(source_rounds)]))
     raw = raw.groupBy("case_id", "id").agg(F.sum("raw").alias("raw"))
     scale = F.lit(1.0) if pivots is None else F.col("n") / F.least(F.col("n"), F.lit(pivots))
@@ -169,8 +169,9 @@ def betweenness(nodes: DataFrame, pairs: DataFrame, dense_nodes: int = DENSE_NOD
                     .otherwise(F.lit(0.0)).alias("betweenness")))
 
 
-def _layered_betweenness(sources: DataFrame, links: DataFrame) -> DataFrame:
-    """Unnormalized dependency sums over the given sources, layer by layer."""
+def layered_dependencies(sources: DataFrame, links: DataFrame) -> DataFrame:
+    """(case_id, id, raw, squares): sums over the given sources (case_id, id) of what each one's shortest paths owe to a
+    node, and of its square, layer by layer.  A layer holds the (source, node) pairs it reaches and no others."""
     frontier = cut(sources.select("case_id", F.col("id").alias("s"), F.col("id").alias("v"),
                                   F.lit(1.0).alias("paths")))
     layers, seen = [frontier], frontier.select("case_id", "s", "v")
@@ -196,7 +197,7 @@ def _layered_betweenness(sources: DataFrame, links: DataFrame) -> DataFrame:
                              (F.coalesce("each", F.lit(0.0)) * F.col("paths")).alias("credit")))
         parts.append(deeper)
     every = reduce(lambda a, b: a.unionByName(b), parts).filter("s <> v")
-    return every.groupBy("case_id", F.col("v").alias("id")).agg(F.sum("credit").alias("raw"))
+    return every.groupBy("case_id", F.col("v").alias("id")).agg(F.sum("credit").alias("raw"), F.sum(F.col("credit") ** 2).alias("squares"))
 
 
 def ego(nodes: DataFrame, edges: DataFrame, entity_id: str) -> DataFrame:
@@ -238,7 +239,7 @@ def split_isolates(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     return nodes.join(ends, ["case_id", "id"], "left_semi"), nodes.join(ends, ["case_id", "id"], "left_anti")
 
 
-def centralities(nodes: DataFrame, pairs: DataFrame, **options) -> DataFrame:
-    """Degree, betweenness and PageRank of every node."""
-    return (degree_centrality(nodes, pairs).join(betweenness(nodes, pairs), ["case_id", "id"])
+def centralities(nodes: DataFrame, pairs: DataFrame, pivots: int | None = None, **options) -> DataFrame:
+    """Degree, betweenness (from ``pivots`` sources where given) and PageRank of every node."""
+    return (degree_centrality(nodes, pairs).join(betweenness(nodes, pairs, pivots=pivots), ["case_id", "id"])
             .join(pagerank(nodes, pairs, **options), ["case_id", "id"]))

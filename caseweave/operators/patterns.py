@@ -61,22 +61,23 @@ def rarity_weights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def distances(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """(case_id, id, distance, via): links from the nearest of ``starts`` (case_id, id), and the smallest node before.
 
-    A breadth-first search, one join per step; following ``via`` back gives a shortest path.
+    A breadth-first search, one join per step; following ``via`` back gives a shortest path.  A step writes what it
+    reaches only: a neighbour of one layer is in it, in the one before or not yet found.
     """
     links = cut(both_directions(undirected_pairs(edges)).select("case_id", "id", "neighbor"))
     front = cut(starts.select("case_id", "id").distinct().withColumns(
         {"distance": F.lit(0), "via": F.lit(None).cast(dict(edges.dtypes)["source"])}))
-    found = front
-    while most is None or most > 0:
-        reached = (front.select("case_id", "id", "distance").join(links, ["case_id", "id"])
+    layers = [front]
+    while most is None or len(layers) <= most:
+        reached = (layers[-1].select("case_id", "id", "distance").join(links, ["case_id", "id"])
                    .groupBy("case_id", F.col("neighbor").alias("id"))
                    .agg((F.first("distance") + 1).alias("distance"), F.min("id").alias("via")))
-        front = cut(reached.join(found.select("case_id", "id"), ["case_id", "id"], "left_anti"))
+        known = reduce(lambda a, b: a.unionByName(b), [layer.select("case_id", "id") for layer in layers[-2:]])
+        front = cut(reached.join(known, ["case_id", "id"], "left_anti"))
         if front.isEmpty():
             break
-        found = cut(found.unionByName(front))
-        most = None if most is None else most - 1
-    return found
+        layers.append(front)
+    return reduce(lambda a, b: a.unionByName(b), layers)
 
 
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:

@@ -10,6 +10,7 @@ from ...operators import leads as L
 from ...operators import lifecycle as C
 from ...operators import ranking as T
 from ...operators.iteration import scratch_path
+from ...operators.sampling import sampled_betweenness
 from ...sources import delta, store
 from ...sources.originals import original
 from .. import reports as R
@@ -23,31 +24,54 @@ def graph(s):
     return G.build_graph(s.entities(), s.edges())
 
 
-# nations linked by trade above their case's mean volume, one case per order status: a graph with triangles and
-# self-loops that every line decides
-TRADE_LINES = """select o_orderstatus case_id, concat('n', cast(c_nationkey as string)) x,
-  concat('n', cast(s_nationkey as string)) y, c_mktsegment report_id, l_quantity q
-  from {lineitem} join {orders} on l_orderkey = o_orderkey join {customer} on c_custkey = o_custkey
-  join {supplier} on s_suppkey = l_suppkey"""
-TRADE = f"""select case_id, a, b from (select *, avg(q) over (partition by case_id) mean from (
-  select case_id, least(x, y) a, greatest(x, y) b, sum(q) q from ({TRADE_LINES}) l group by 1, 2, 3) p) m where q > mean"""
-TRADE_EDGES = f"""select distinct l.case_id, x source, y target, report_id from ({TRADE_LINES}) l
-  join ({TRADE}) k on k.case_id = l.case_id and k.a = least(x, y) and k.b = greatest(x, y)"""
-TRADE_SQL = """, tr as (""" + TRADE.replace("{", "").replace("}", "") + """),
+# who deals with whom, one case per order status: every line is a circle of customer, supplier and part, so the graph
+# grows with the lines, suppliers are its hubs, and triangles come from within and across lines
+TRADE_LINES = """select o_orderstatus case_id, concat('c', cast(o_custkey as string)) c, concat('s', cast(l_suppkey as string)) s,
+  concat('p', cast(l_partkey as string)) p, o_orderpriority report_id from {lineitem} join {orders} on l_orderkey = o_orderkey"""
+TRADE_SQL = """, tl0 as (""" + TRADE_LINES.replace("{", "").replace("}", "").replace(" as string)", " as varchar)") + """),
+te as (select distinct case_id, x, y, report_id from (select case_id, c x, s y, report_id from tl0 union all
+  select case_id, s, p, report_id from tl0 union all select case_id, p, c, report_id from tl0) e),
+tr as (select distinct case_id, least(x, y) a, greatest(x, y) b from te),
 tn as (select distinct case_id, a id from tr union select case_id, b from tr),
-ta as (select case_id, a id, b nb from tr where a <> b union select case_id, b, a from tr where a <> b),
-te as (select case_id, source x, target y, report_id from (""" + TRADE_EDGES.replace("{", "").replace("}", "") + """) e)
+ta as (select case_id, a id, b nb from tr union all select case_id, b, a from tr)
 """
+# a tree of regions, nations and the customers and suppliers in them, one case per region: few bridges, hubs of any size
+PLACES = """select r_name case_id, concat('c', cast(c_custkey as string)) source, concat('n', cast(n_nationkey as string)) target,
+    c_mktsegment report_id, c_custkey seq from {customer} join {nation} on n_nationkey = c_nationkey join {region} on r_regionkey = n_regionkey union all
+  select r_name, concat('s', cast(s_suppkey as string)), concat('n', cast(n_nationkey as string)), 'supplies', 10000000000 + s_suppkey
+    from {supplier} join {nation} on n_nationkey = s_nationkey join {region} on r_regionkey = n_regionkey union all
+  select r_name, concat('n', cast(n_nationkey as string)), concat('r', cast(r_regionkey as string)), 'places', 20000000000 + n_nationkey
+    from {nation} join {region} on r_regionkey = n_regionkey"""
+PLACES_SQL = """, te as (select case_id, source x, target y, report_id from (""" + PLACES.replace("{", "").replace("}", "").replace(
+    " as string)", " as varchar)") + """) e),
+tr as (select distinct case_id, least(x, y) a, greatest(x, y) b from te),
+tn as (select distinct case_id, a id from tr union select case_id, b from tr),
+ta as (select case_id, a id, b nb from tr union all select case_id, b, a from tr)
+"""
+PIVOTS = 16
 # the whole entity graph under the same names
 GRAPH_SQL = """, tr as (select case_id, a, b from und), tn as (select case_id, id from ent),
 ta as (select case_id, id, neighbor nb from adj)
 """
 
 
+def with_nodes(edges):
+    """Nodes, labelled by their id, and the edges themselves."""
+    nodes = edges.select("case_id", F.explode(F.array("source", "target")).alias("id")).distinct().select(
+        "case_id", "id", F.upper("id").alias("label"), F.lit("Location").alias("type"))
+    return nodes, edges
+
+
+def trade_edges(s):
+    """Trade links of all lines with a report per order priority, and their nodes."""
+    side = lambda x, y: F.struct(F.col(x).alias("source"), F.col(y).alias("target"))
+    lines = s.sql(TRADE_LINES).distinct()
+    return with_nodes(lines.select("case_id", "report_id", F.explode(F.array(side("c", "s"), side("s", "p"), side("p", "c"))).alias("e"))
+                      .select("case_id", "e.*", "report_id").distinct())
+
+
 def trade(s):
-    pairs = s.sql(TRADE)
-    nodes = pairs.select("case_id", F.explode(F.array("a", "b")).alias("id")).distinct()
-    return nodes, pairs
+    return G.build_graph(*trade_edges(s))
 
 
 @query("g1_build_graph", "select case_id, 'pair' part, a, b from und union all select case_id, 'node', id, null from ent")
@@ -85,32 +109,57 @@ def _(s):
     return G.betweenness(*graph(s)).select("case_id", "id", F.round("betweenness", 9).alias("betweenness"))
 
 
-@query("g3_betweenness_layers", TRADE_SQL + ", vn as (select * from tn), va as (select * from ta)" + _distances(8) + PAIR_SUM)
+def _pivot_sql(graph_sql: str, pivots: int, levels: int = 8) -> str:
+    """Betweenness ``bt`` estimated from the nodes of smallest digest: layers forward, dependencies backward."""
+    parts = [f"""pv as materialized (select case_id, id from (select *, row_number() over (partition by case_id order by md5(id), id) r from tn) x where r <= {pivots})""",
+             "f0 as materialized (select case_id, id s, id v, 1.0::double p from pv)"]
+    for k in range(1, levels + 1):
+        seen = " union all ".join(f"select case_id, s, v from f{j}" for j in range(max(0, k - 2), k))
+        parts.append(f"""f{k} as materialized (select x.case_id, s, nb v, sum(p) p from f{k - 1} x join ta on ta.case_id = x.case_id and ta.id = x.v
+          where not exists (select 1 from ({seen}) q where q.case_id = x.case_id and q.s = x.s and q.v = nb) group by 1, 2, 3)""")
+    parts.append(f"b{levels} as materialized (select *, 0.0::double c from f{levels})")
+    for k in range(levels - 1, -1, -1):
+        parts.append(f"""b{k} as materialized (select x.*, coalesce(g, 0) * x.p c from f{k} x left join (select y.case_id, s, nb v, sum((1 + c) / p) g
+          from b{k + 1} y join ta on ta.case_id = y.case_id and ta.id = y.v group by 1, 2, 3) z using (case_id, s, v))""")
+    every = " union all ".join(f"select * from b{k}" for k in range(levels + 1))
+    parts.append(f"""bt as (select tn.case_id, tn.id, coalesce(c, 0) * n / least(n, {pivots}) / ((n - 1.0) * (n - 2.0)) betweenness from tn
+      join (select case_id, count(*) n from tn group by 1) z using (case_id)
+      left join (select case_id, v id, sum(c) c from ({every}) e where s <> v group by 1, 2) d using (case_id, id))""")
+    return graph_sql + ", " + ",\n".join(parts)
+
+
+@query("g3_betweenness_layers", _pivot_sql(TRADE_SQL, PIVOTS) + " select case_id, id, round(betweenness, 9) betweenness from bt")
 def _(s):
-    """The distributed route, which large cases take."""
-    nodes, pairs = trade(s)
-    return G.betweenness(nodes, pairs, dense_nodes=0).select("case_id", "id", F.round("betweenness", 9).alias("betweenness"))
+    """The distributed route, which large cases take, from a set number of sources over the graph of all lines."""
+    return G.betweenness(*trade(s), dense_nodes=0, pivots=PIVOTS).select("case_id", "id", F.round("betweenness", 9).alias("betweenness"))
 
 
-PR_STEPS = 20
+@query("g3_betweenness_sampled")
+def _(s):
+    """Sources are added until the bound on the error is met; no SQL, as what is drawn depends on the bound."""
+    return sampled_betweenness(*trade(s), error=0.2).select(
+        "case_id", "id", F.round("betweenness", 9).alias("betweenness"), F.round("bound", 9).alias("bound"), "sources")
 
 
 def _pagerank_sql(graph_sql: str) -> str:
-    steps = ["pn as (select tn.case_id, tn.id, coalesce(o, 0) o, count(*) over (partition by tn.case_id) n from tn left join "
-             "(select case_id, id, count(*) o from tl group by 1, 2) q using (case_id, id))",
-             "r0 as (select case_id, id, o, n, 1.0::double / n r from pn)"]
-    for k in range(1, PR_STEPS + 1):
-        steps.append(f"""r{k} as materialized (select x.case_id, x.id, o, n, 0.15 / n + 0.85 * (coalesce(i, 0) + coalesce(dm, 0) / n) r from r{k - 1} x
-          left join (select tl.case_id, nb id, sum(r / o) i from r{k - 1} y join tl on tl.case_id = y.case_id and tl.id = y.id group by 1, 2) q using (case_id, id)
-          left join (select case_id, sum(r) dm from r{k - 1} where o = 0 group by 1) z on z.case_id = x.case_id)""")
-    return (graph_sql + ", tl as (select * from ta union all select case_id, a, a from tr where a = b),\n" + ",\n".join(steps)
-            + f" select case_id, id, round(r, 9) pagerank from r{PR_STEPS}")
+    """``pr``: the operator's iteration and its stop, looked at every five steps."""
+    return graph_sql + """, tl as (select * from ta union all select case_id, a, a from tr where a = b),
+pn as (select tn.case_id, tn.id, coalesce(o, 0) o, count(*) over (partition by tn.case_id) n from tn left join
+  (select case_id, id, count(*) o from tl group by 1, 2) q using (case_id, id)),
+pr as (with recursive rk as (select 0 k, case_id, id, o, n, 1.0::double / n r, 0.0::double was from pn union all
+  select x.k + 1, x.case_id, x.id, x.o, x.n, 0.15 / x.n + 0.85 * (coalesce(i, 0) + coalesce(dm, 0) / x.n), x.r from rk x
+  left join (select tl.case_id, nb id, sum(r / o) i from rk y join tl on tl.case_id = y.case_id and tl.id = y.id group by 1, 2) q
+    on q.case_id = x.case_id and q.id = x.id
+  left join (select case_id, sum(r) dm from rk where o = 0 group by 1) z on z.case_id = x.case_id
+  where x.k % 5 <> 0 or x.k = 0 or exists (select 1 from rk group by case_id having sum(abs(r - was)) >= max(n) * 1e-6))
+select case_id, id, r from rk where k = (select max(k) from rk))
+"""
 
 
-@query("g4_pagerank", _pagerank_sql(GRAPH_SQL))
+@query("g4_pagerank", _pagerank_sql(GRAPH_SQL) + " select case_id, id, round(r, 9) pagerank from pr")
 def _(s):
     nodes, pairs = graph(s)
-    return G.pagerank(nodes, pairs, tol=None, max_iter=PR_STEPS).select("case_id", "id", F.round("pagerank", 9).alias("pagerank"))
+    return G.pagerank(nodes, pairs).select("case_id", "id", F.round("pagerank", 9).alias("pagerank"))
 
 
 @query("g5_ego", """select ev.case_id, ev.id, e.id neighbor, e.label neighbor_label from ev join ent e on e.case_id = ev.case_id
@@ -132,20 +181,11 @@ def _(s):
     return linked.select("case_id", "id", F.lit(True).alias("connected")).union(alone.select("case_id", "id", F.lit(False)))
 
 
-def _ranking_sql() -> str:
-    head, tail = _pagerank_sql(TRADE_SQL).rsplit("select case_id, id, round(r, 9) pagerank", 1)
-    return (head.rstrip() + ", vn as (select * from tn), va as (select * from ta)" + _distances(8) + ", bt as (" + PAIR_SUM
-            + f""") select vn.case_id, vn.id, (select count(*) from ta where ta.case_id = vn.case_id and ta.id = vn.id)
-              + 2 * (select count(*) from tr where tr.case_id = vn.case_id and a = b and a = vn.id) connections,
-            round(((select count(*) from ta where ta.case_id = vn.case_id and ta.id = vn.id) + 2 * (select count(*) from tr
-              where tr.case_id = vn.case_id and a = b and a = vn.id)) / (n - 1), 3) degree,
-            round(betweenness, 3) betweenness, round(r, 3) pagerank from vn join bt using (case_id, id) join r{PR_STEPS} using (case_id, id)""")
-
-
-@query("t1_rank_centrality", _ranking_sql())
+@query("t1_rank_centrality", _pivot_sql(_pagerank_sql(TRADE_SQL), PIVOTS) + """, dg as (select case_id, id, count(*) d from ta group by 1, 2)
+select case_id, id, d connections, round(d / (count(*) over (partition by case_id) - 1), 3) degree, round(betweenness, 3) betweenness,
+  round(r, 3) pagerank from dg join bt using (case_id, id) join pr using (case_id, id)""")
 def _(s):
-    nodes, pairs = trade(s)
-    return T.rank_centrality(G.centralities(nodes, pairs, tol=None, max_iter=PR_STEPS))
+    return T.rank_centrality(G.centralities(*trade(s), pivots=PIVOTS))
 
 
 # --- leads ---------------------------------------------------------------------------
@@ -164,20 +204,11 @@ def _(s):
     return L.leads_cross_domain(s.entities(), s.edges()).select("case_id", "entity_id", "reason")
 
 
-def trade_edges(s):
-    """Trade links with a report per customer segment, and their nodes."""
-    edges = s.sql(TRADE_EDGES)
-    nodes = edges.select("case_id", F.explode(F.array("source", "target")).alias("id")).distinct().select(
-        "case_id", "id", F.upper("id").alias("label"), F.lit("Location").alias("type"))
-    return nodes, edges
-
-
-@query("l2_bridge", TRADE_SQL + ", vn as (select * from tn), va as (select * from ta)" + _distances(8) + ", bt as (" + PAIR_SUM + """)
-select bt.case_id, id entity_id, concat('Potential network bridge: ', upper(id)) title, count(distinct report_id) sources
-from bt join te on te.case_id = bt.case_id and id in (x, y) where betweenness >= 0.12 group by 1, 2, 3""")
+@query("l2_bridge", _pivot_sql(PLACES_SQL, PIVOTS) + """select bt.case_id, id entity_id, concat('Potential network bridge: ', upper(id)) title,
+count(distinct report_id) sources from bt join te on te.case_id = bt.case_id and id in (x, y) where betweenness >= 0.12 group by 1, 2, 3""")
 def _(s):
-    nodes, edges = trade_edges(s)
-    scores = G.betweenness(*G.build_graph(nodes, edges))
+    nodes, edges = with_nodes(s.sql(PLACES))
+    scores = G.betweenness(*G.build_graph(nodes, edges), pivots=PIVOTS)
     return L.leads_bridge(nodes, edges, scores).select("case_id", "entity_id", "title", "sources")
 
 
@@ -211,7 +242,7 @@ def _(s):
     return flt.leads_by_severity(L.leads_hub(A.connections(nodes, edges), edges), "High").select("case_id", "entity_id")
 
 
-@query("t3_first_leads", TRADE_SQL + ", vn as (select * from tn), va as (select * from ta)" + _distances(8) + ", bt as (" + PAIR_SUM + """),
+@query("t3_first_leads", _pivot_sql(PLACES_SQL, PIVOTS) + """,
 sc as (select case_id, id, count(distinct report_id) sources from (select case_id, x id, report_id from te union all select case_id, y, report_id from te) group by 1, 2),
 dg as (select case_id, id, (select count(*) from ta where ta.case_id = tn.case_id and ta.id = tn.id)
   + (select count(*) from tr where tr.case_id = tn.case_id and a = b and a = tn.id) d from tn),
@@ -227,9 +258,8 @@ al as (select 1 g, 1 o, case_id, id entity_id, 'high' severity, concat('Cross-do
 select case_id, entity_id, severity, title, "rule", sources from al order by g, case_id, entity_id, o limit 12""")
 def _(s):
     """The first twelve leads of the whole graph: the page size is the feature."""
-    nodes, edges = trade_edges(s)
-    edges = edges.withColumn("seq", F.hash("source", "target", "report_id"))
-    scores = G.betweenness(*G.build_graph(nodes, edges))
+    nodes, edges = with_nodes(s.sql(PLACES))
+    scores = G.betweenness(*G.build_graph(nodes, edges), pivots=PIVOTS)
     parts = [L.leads_cross_domain(nodes, edges), L.leads_bridge(nodes, edges, scores), L.leads_shared(nodes, edges)]
     every = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
     return T.first_leads(every).select("case_id", "entity_id", "severity", "title", "rule", "sources")

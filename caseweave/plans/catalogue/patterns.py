@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import patterns as P
-from .graph import GRAPH_SQL, TRADE_EDGES, TRADE_SQL
+from .graph import GRAPH_SQL, TRADE_SQL, trade_edges
 from .registry import query
 
 # orders as money moving between customers, at the second of their key within their day
@@ -37,35 +37,31 @@ def _(s):
     return P.rarity_weights(s.entities(), s.edges()).select("case_id", "id", "degree", F.round("weight", 9).alias("weight"))
 
 
-@query("p4_distances", GRAPH_SQL + """, d0 as (select case_id, min(id) id from tn group by 1),
-d1 as (select distinct case_id, nb id from d0 join ta using (case_id, id) where nb not in (select id from d0 x where x.case_id = ta.case_id)),
-d2 as (select distinct case_id, nb id from d1 join ta using (case_id, id) where not exists (select 1 from
-  (select * from d0 union all select * from d1) q where q.case_id = ta.case_id and q.id = nb))
-select case_id, id, 0 distance from d0 union all select case_id, id, 1 from d1 union all select case_id, id, 2 from d2""")
+@query("p4_distances", GRAPH_SQL + """, ds as (with recursive w as (select case_id, min(id) id, 0 d from tn group by 1 union
+  select w.case_id, nb, d + 1 from w join ta on ta.case_id = w.case_id and ta.id = w.id where d < 30) select * from w)
+select case_id, id, min(d) distance from ds group by 1, 2""")
 def _(s):
     nodes = s.entities().groupBy("case_id").agg(F.min("id").alias("id"))
-    return P.distances(s.edges(), nodes, 2).select("case_id", "id", "distance")
+    return P.distances(s.edges(), nodes).select("case_id", "id", "distance")
 
 
 def _votes(k: int) -> str:
-    return f"""c{k} as (select case_id, id, c from (select *, row_number() over (partition by case_id, id order by n desc, c) r from (
+    return f"""c{k} as materialized (select case_id, id, c from (select *, row_number() over (partition by case_id, id order by n desc, c) r from (
   select case_id, id, c, count(*) n from (select ta.case_id, ta.id, l.c from ta join c{k - 1} l on l.case_id = ta.case_id and l.id = ta.nb
   union all select * from c{k - 1}) v group by 1, 2, 3) w) where r = 1)"""
 
 
-@query("p5_communities", TRADE_SQL + ", c0 as (select case_id, id, id c from tn), " + ", ".join(_votes(k) for k in (1, 2, 3))
-       + " select case_id, id, c community from c3")
+@query("p5_communities", TRADE_SQL + ", c0 as (select case_id, id, id c from tn), " + ", ".join(_votes(k) for k in range(1, 11))
+       + " select case_id, id, c community from c10")
 def _(s):
-    edges = s.sql(TRADE_EDGES)
-    nodes = edges.select("case_id", F.explode(F.array("source", "target")).alias("id")).distinct()
-    return P.communities(nodes, edges, 3)
+    return P.communities(*trade_edges(s)).select("case_id", "id", "community")
 
 
 @query("p7_circular_flows", TRADE_SQL + """, fl as (select distinct case_id, x, y from te where x <> y)
 select p.case_id, p.x a, p.y b, q.y c from fl p join fl q on q.case_id = p.case_id and q.x = p.y join fl r on r.case_id = p.case_id
 and r.x = q.y and r.y = p.x where p.x < p.y and p.x < q.y""")
 def _(s):
-    return P.circular_flows(s.sql(TRADE_EDGES))
+    return P.circular_flows(trade_edges(s)[1])
 
 
 @query("p8_shared_values", """, h as (select distinct o_custkey % 1000 as owner, concat(o_orderdate, '|', o_orderpriority) as v from orders)
