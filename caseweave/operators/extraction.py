@@ -60,31 +60,39 @@ GAP = r"[\s.,;:!?()\[\]\"]"
 TOKEN = r"[^\s.,;:!?()\[\]\"]++(?:\.(?=\S)[^\s.,;:!?()\[\]\"]++)*+"
 
 
-def word_grams(text: Column, max_words: int) -> Column:
-    """Runs of one to max_words words as array<struct<start,end,label>>; each label is pieced together from its words and
-    the gaps between them, so a run costs its own length wherever it stands in the text."""
+def word_runs(text: Column, max_words: int) -> Column:
+    """What starts at each word, as array<struct<start,word,runs>>: the word in lower case, and runs of one to max_words
+    words as array<struct<end,label>>.  A label is pieced together from its words and the gaps between them, so a run
+    costs its own length wherever it stands in the text."""
     def build(tokens: Column, pieces: Column) -> Column:
-        def runs(first: Column, i: Column) -> Column:
+        def runs(i: Column) -> Column:
             lengths = F.filter(F.array(*[F.lit(n) for n in range(1, max_words + 1)]), lambda n: i + n <= F.size(tokens))
             return F.transform(lengths, lambda n: let(F.element_at(tokens, i + n), lambda last: F.struct(
-                first["start"].alias("start"), last["end"].alias("end"),
-                F.concat(F.array_join(F.slice(pieces, i + 1, n - 1), ""), last["value"]).alias("label"))))
-        return F.flatten(F.transform(tokens, runs))
+                last["end"].alias("end"), F.concat(F.array_join(F.slice(pieces, i + 1, n - 1), ""), last["value"]).alias("label"))))
+        return F.transform(tokens, lambda first, i: F.struct(
+            first["start"].alias("start"), F.lower(first["value"]).alias("word"), runs(i).alias("runs")))
 
     pieces = F.regexp_extract_all(text, F.lit(rule_regex(f"{TOKEN}{GAP}*+")), F.lit(0))
     return let(find_spans(text, rule_regex(TOKEN)), lambda tokens: let(pieces, lambda p: build(tokens, p)))
 
 
 def tag_gazetteer(units: DataFrame, names: DataFrame, max_words: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Names of a (name, type) table found in the text, longest match first.
+    """Names of a (name, type) table found in the text, longest match first; of a name's types the smallest holds.
 
-    Texts become word n-grams with offsets and meet the names in an equi-join; only those that meet one come back to
-    their text.
+    A word of the text meets the first words of the names, one row a word, and only where a name can start do its runs of
+    the lengths that such names have meet whole names.  So a common word, even one that starts a name, is a key of many
+    rows against one in the first join, which splits or broadcasts, and never a key of whole names.  Only texts with a
+    name come back for their snippets.  Null texts and names match nothing; names of more than max_words words are not
+    looked for.
     """
-    grams = units.select(*UNIT, F.explode(word_grams(F.col("text"), max_words)).alias("g")).select(*UNIT, "g.*")
-    keyed = grams.withColumn("key", squeeze(F.lower("label")))
-    vocabulary = names.select(squeeze(F.lower("name")).alias("key"), "type").dropDuplicates(["key"])
-    hits = keyed.join(vocabulary, "key")
+    vocabulary = names.select(squeeze(F.lower("name")).alias("key"), "type").groupBy("key").agg(F.min("type").alias("type"))
+    parts = vocabulary.select(F.regexp_extract_all("key", F.lit(rule_regex(TOKEN)), F.lit(0)).alias("w"))
+    heads = (parts.filter(F.size("w").between(1, max_words)).groupBy(F.col("w")[0].alias("word"))
+             .agg(F.collect_set(F.size("w")).alias("lengths")))  # at most max_words of them
+    words = units.select(*UNIT, F.explode(word_runs(F.col("text"), max_words)).alias("r")).select(*UNIT, "r.*")
+    runs = words.join(heads, "word").select(*UNIT, "start", F.explode(F.filter(
+        "runs", lambda r, i: F.array_contains("lengths", i + 1))).alias("r")).select(*UNIT, "start", "r.*")
+    hits = runs.withColumn("key", squeeze(F.lower("label"))).join(vocabulary, "key")
     # inside one text unit, drop a match that an earlier or longer one covers
     before = (Window.partitionBy("doc_id", "unit_index").orderBy("start", F.desc("end"))
               .rowsBetween(Window.unboundedPreceding, -1))

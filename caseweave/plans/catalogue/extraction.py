@@ -206,20 +206,36 @@ def _(s):
 
 
 def meetings(s):
-    """Orders told with customer and supplier names, and the table of those names."""
+    """Orders told with the names of their customer and of their first supplier, and the table of those names."""
     units = s.sql("""select 'K' case_id, cast(o_orderkey as string) doc_id, cast(0 as bigint) unit_index, 'text' kind, o_orderkey,
         concat(c_name, case when o_orderkey % 3 = 0 then ' never met ' when o_orderkey % 3 = 1 then ' met ' else ' and ' end,
-        s_name, '.') text from {orders} join {customer} on o_custkey = c_custkey join {supplier} on s_suppkey = o_orderkey % 10""")
+        s_name, '.') text from {orders} join {customer} on o_custkey = c_custkey join (select l_orderkey, min(l_suppkey) k from {lineitem} group by 1) l
+        on l_orderkey = o_orderkey join {supplier} on s_suppkey = k""")
     names = s.sql("""select concat(c_name, '') name, 'Organization' type from {customer} union all
         select s_name, 'Organization' from {supplier}""")
     return units, names
 
 
-@query("e2_tag_gazetteer", """select cast(o_orderkey as varchar) doc_id, c_name label, cast(0 as integer) "start" from orders join customer on o_custkey = c_custkey union all
-select cast(o_orderkey as varchar), s_name, cast(length(c_name) + case o_orderkey % 3 when 0 then 11 when 1 then 5 else 5 end as integer)
-from orders join customer on o_custkey = c_custkey join supplier on s_suppkey = o_orderkey % 10""")
+# every document's opening one and two words are names, so words such as articles start many of them
+OPENINGS = """select distinct regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+', 0) name, 'Place' type from {documents} union
+  select distinct regexp_extract(text, '^[A-Za-z]+', 0), 'Place' from {documents} where length(regexp_extract(text, '^[A-Za-z]+', 0)) > 5"""
+RE_GAP = r"""[\s.,;:!?()\[\]"]"""
+RE_WORD = r"""[^\s.,;:!?()\[\]"]+(?:\.[^\s.,;:!?()\[\]"]+)*"""
+
+
+@query("e2_tag_gazetteer", f""", nm as (select distinct lower(name) k from ({OPENINGS.replace("{documents}", "documents")}) n where name <> ''),
+tk as (select doc_id, i, piece, regexp_extract(piece, '{RE_WORD}') w, length(text) - sum(length(piece)) over (partition by doc_id)
+    + sum(length(piece)) over (partition by doc_id order by i) - length(piece) p
+  from (select cast(doc_id as varchar) doc_id, text, unnest(pc) piece, unnest(range(len(pc))) i
+    from (select *, regexp_extract_all(text, '{RE_WORD}{RE_GAP}*') pc from documents) t) u),
+tw as (select *, lead(piece) over o q2, lead(w) over o w2, lead(w, 2) over o w3 from tk window o as (partition by doc_id order by i)),
+g as (select doc_id, p, w label from tw union all select doc_id, p, piece || w2 from tw where w2 is not null union all
+  select doc_id, p, piece || q2 || w3 from tw where w3 is not null),
+h as (select doc_id, p, label, max(p + length(label)) over (partition by doc_id order by p, length(label) desc rows between unbounded preceding
+  and 1 preceding) before from g where trim(regexp_replace(lower(label), '\\s+', ' ', 'g')) in (select k from nm))
+select doc_id, label, cast(p as integer) "start" from h where before is null or before < p + length(label)""")
 def _(s):
-    _e, mentions = X.tag_gazetteer(*meetings(s))
+    _e, mentions = X.tag_gazetteer(s.texts(), s.sql(OPENINGS))
     return mentions.select("doc_id", "label", "start")
 
 
@@ -439,7 +455,7 @@ def _(s):
 
 
 @query("d3_pluggable_tagger", """select cast(o_orderkey as varchar) doc_id, 'MET' type from orders join customer on o_custkey = c_custkey
-join supplier on s_suppkey = o_orderkey % 10 where o_orderkey % 3 = 1""")
+join (select l_orderkey, min(l_suppkey) k from lineitem group by 1) l on l_orderkey = o_orderkey join supplier on s_suppkey = k where o_orderkey % 3 = 1""")
 def _(s):
     """Any (name, type) table can tag narratives; its mentions feed the same rules."""
     units, names = meetings(s)
