@@ -16,6 +16,7 @@ from ...operators.proposals import context_span, endpoints_inside, locate_quotes
 from ...operators.relations import compile_rules, extract_relations
 from ...sources import originals as O
 from ...sources import store, units as U
+from ...sources.delimited import read_delimited
 from ...sources.rules import load_rules
 from .registry import query
 
@@ -62,6 +63,17 @@ def _(s):
     return U.read_row_units(s.spark, path, "c", max_columns=8).select(F.array_join("cells", " | ").alias("cells"))
 
 
+@query("s4_delimited_documents", """select doc_id, md5(coalesce(text, '')) h, cast(4 as bigint) width, false malformed from documents""")
+def _(s):
+    """Whole texts, line breaks and quotes in them, written as ';' tables and read back; the separator is found in the files."""
+    path = scratch_path(s.spark, "delimited")
+    docs = s.table("documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), "lang")
+    docs.write.options(sep=";", quoteAll=True, escape='"').csv(path)
+    rows = read_delimited(s.spark, path, "c")
+    return rows.select(F.col("cells")[0].cast("bigint").alias("doc_id"), F.md5(F.col("cells")[2]).alias("h"),
+                       F.size("cells").cast("bigint").alias("width"), "malformed")
+
+
 @query("s5_to_units", """select doc_id, cast(i - 1 as bigint) unit_index, length(p) chars from (
 select doc_id, unnest(string_split(text, chr(10))) p, generate_subscripts(string_split(text, chr(10)), 1) i from texts)""")
 def _(s):
