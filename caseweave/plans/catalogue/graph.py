@@ -1,6 +1,8 @@
 """Queries for graph measures (g*), leads (l*), composites (k*, q*) and lifecycle (m*, s9–s12)."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ...operators import aggregates as A
@@ -11,7 +13,7 @@ from ...operators import lifecycle as C
 from ...operators import ranking as T
 from ...operators.iteration import scratch_path
 from ...operators.sampling import sampled_betweenness
-from ...sources import delta, store
+from ...sources import cases, delta, store
 from ...sources.originals import original
 from .. import reports as R
 from ..reference_graph import reference_graph_stats, union_reference_graph
@@ -385,6 +387,41 @@ def _(s):
     return reanalyzed(s)["entities"].select("case_id", "id", "active")
 
 
+@query("m2_reanalyze_stored", STATE_SQL + """, so as (select distinct case_id, report_id, unnest([source, target]) id from ev where amount > 20000),
+sn as (select distinct case_id, report_id, unnest([source, target]) id from ev where amount < 80000),
+st as (select * from so where report_id not in (from fin) union select * from sn where report_id in (from fin))
+select 'edge' part, case_id, report_id, id, case when report_id in (from fin) then exists (select 1 from n where n.report_id = k.report_id and n.id = k.id)
+else true end active from (select * from o union select * from n where report_id in (from fin)) k
+union all select 'sighting', case_id, report_id, id, true from st
+union all select 'entity', case_id, '', id, exists (select 1 from st where st.case_id = k.case_id and st.id = k.id)
+from (select case_id, id from so union select case_id, id from sn where report_id in (from fin)) k""")
+def _(s):
+    """The same over stored tables: what changed is one more delta, and a second time nothing is written."""
+    root, old, new = scratch_path(s.spark, "reanalysis"), findings(s, OLD), findings(s, NEW)
+    complete = s.sql("select concat('O', cast(o_orderkey as string)) report_id, case when o_orderstatus = 'P' then 'relationships_pending' else 'complete' end status from {orders}")
+    delta.save(old, root, "old")
+    schemas = {n: t.schema for n, t in old.items()}
+    cases.reanalyze_stored(new, complete, root, schemas)
+    now = cases.stored(s.spark, root, schemas)
+    row = lambda name, part, report, active: now[name].select(F.lit(part).alias("part"), "case_id", report.alias("report_id"), "id", active.alias("active"))
+    return (row("relationships", "edge", F.col("report_id"), F.col("active")).union(row("sightings", "sighting", F.col("report_id"), F.lit(True)))
+            .union(row("entities", "entity", F.lit(""), F.col("active"))))
+
+
+@query("m2_review_stored", """select case_id, count(distinct (report_id, id)) n, count(distinct (report_id, id)) filter (amount >= 50000) accepted,
+(select count(distinct (case_id, report_id, id)) from ev where amount >= 50000) changed, cast(0 as bigint) again from ev group by 1""")
+def _(s):
+    """Reviews of all dear edges, put on the stored table: only these are written, and the same reviews again write none."""
+    root = scratch_path(s.spark, "reviews")
+    edges = s.edges().select("case_id", "report_id", "id", "amount", F.lit("pending").alias("review_status"), F.lit(1).alias("created_at"))
+    reviews = edges.filter("amount >= 50000").select("case_id", "report_id", "id", F.lit("accepted").alias("review_status"), F.lit(1).alias("updated_at"))
+    delta.save({"relationships": edges}, root, "run")
+    changed, again = (cases.review_stored(reviews, root, edges.schema, F.lit(2)) for _ in range(2))
+    now = delta.read(s.spark, root, "relationships", edges.schema, cases.KEYS["relationships"])
+    return now.groupBy("case_id").agg(F.count("*").alias("n"), F.count_if(F.col("review_status") == "accepted").alias("accepted"),
+                                      F.lit(changed).cast("bigint").alias("changed"), F.lit(again).cast("bigint").alias("again"))
+
+
 @query("m3_classify_upload", """, st as (select distinct source case_id, sha256(text) h, first_value(doc_id) over (partition by source, sha256(text)
   order by doc_id % 4 <> 0, doc_id) sid from documents where doc_id % 2 = 0)
 select doc_id, case when sid is null then 'new' when sid % 4 <> 0 then 'conflict' when sid % 3 = 0 then 'reuse' else 'reanalyze' end outcome
@@ -491,3 +528,30 @@ def _(s):
     _left, removed = C.purge_case(tables, 7)
     blocked = C.purge_blockers(tables, 7).agg(F.lit("blocked").alias("table_name"), F.count("*").alias("removed"))
     return removed.union(blocked)
+
+
+PURGED = {"documents": "(select distinct case_id, document_id from docs)", "entities": "(select distinct case_id, id from ent)",
+          "sightings": "sight", "relationships": "(select distinct case_id, report_id, id from ev)", "reports": "(select distinct case_id, report_id from ev)"}
+
+
+@query("s12_purge_stored", " union all ".join(
+    f"select '{n}' table_name, cast(case_id as varchar) case_id, case when case_id = 7 then 0 else count(*) end kept, case when case_id = 7 then count(*) else 0 end removed "
+    f"from {t} x group by case_id" for n, t in PURGED.items()))
+def _(s):
+    """A stored case is purged once its documents are done; its outcome stays, and so do the other cases."""
+    root = scratch_path(s.spark, "purge")
+    docs = s.documents().select("case_id", "document_id", "processing_status")
+    edges = s.edges().select("case_id", "report_id", "id", "source", "target")
+    tables = {"entities": s.entities().select("case_id", "id", "label"), "sightings": s.sightings(), "relationships": edges,
+              "reports": edges.select("case_id", "report_id").distinct()}
+    delta.save(tables, root)
+    delta.append(docs, root, "documents", cases.KEYS["documents"])
+    delta.append(docs.filter("case_id = 7").withColumn("processing_status", F.lit("completed")), root, "documents", cases.KEYS["documents"])
+    schemas = {n: t.schema for n, t in (*tables.items(), ("documents", docs))}
+    cases.purge_stored(s.spark, root, schemas, 7, F.timestamp_seconds(F.lit(0)))
+    left = reduce(lambda a, b: a.unionByName(b), [
+        t.groupBy("case_id").agg(F.count("*").alias("kept")).select(F.lit(n).alias("table_name"), F.col("case_id").cast("string"), "kept",
+                                                                  F.lit(0).cast("bigint").alias("removed"))
+        for n, t in cases.stored(s.spark, root, schemas).items()])
+    gone = cases.purges(s.spark, root).filter("removed > 0").select("table_name", "case_id", F.lit(0).cast("bigint").alias("kept"), "removed")
+    return left.unionByName(gone)
