@@ -76,6 +76,51 @@ def receipts_before(transfers: DataFrame, within: int) -> DataFrame:
     return met.filter((F.col("prior_at") <= F.col("at")) & (F.col("at") - F.col("prior_at") <= within)).select("case_id", "account", "id", "prior_id")
 
 
+def returning_flows(transfers: DataFrame, most: int, within: int) -> DataFrame:
+    """(case_id, account, id, length, closed_at): transfers after which money may have come back to the account that sent it.
+
+    A chain of at most ``most`` transfers starts with ``id``, goes on from where each one arrived, later than it, and ends at
+    the sender at most ``within`` seconds after ``id``. Length is the fewest transfers that do so and closed_at the earliest
+    end of a chain of that length. Transfers of an account to itself are no part of it.
+
+    What is kept of a start is its earliest arrival at each place, and nothing that reaches a place later than fewer transfers
+    did. The last transfer is found by place and account together, so the widest round is never listed. Places meet transfers
+    by bucket of time, so a hot account is many tasks.
+    """
+    width = max(within, 1)
+    every = transfers.filter("source <> target").select("case_id", "id", "source", "target", "at")
+    # a circle's transfers have an account before and one after
+    ends = lambda side, name: every.select("case_id", F.col(side).alias(name)).distinct()
+    lively = every.join(ends("target", "source"), ["case_id", "source"], "left_semi").join(
+        ends("source", "target"), ["case_id", "target"], "left_semi").select(*every.columns)
+    own = F.expr(f"at div {width}")
+    moves = settle(lively.select("case_id", F.col("source").alias("place"), F.col("target").alias("next"), F.col("at").alias("leaves"),
+                                 F.explode(F.array(own, own - 1)).alias("bucket"), "id"), "moves")
+    start = ["case_id", "id", "account", "until"]
+    front = settle(moves.filter(f"bucket = leaves div {width}").select(
+        "case_id", "id", F.col("place").alias("account"), (F.col("leaves") + within).alias("until"), F.col("next").alias("place"), F.col("leaves").alias("arrives")))
+    by_time = moves.select("case_id", "place", "bucket", "next", "leaves")
+    later = (F.col("leaves") > F.col("arrives")) & (F.col("leaves") <= F.col("until"))
+    seen, found = front, []
+    for length in range(2, most + 1):
+        there = front.withColumn("bucket", F.expr(f"arrives div {width}"))
+        back = there.join(by_time.withColumnRenamed("next", "account"), ["case_id", "place", "account", "bucket"]).filter(later)
+        closed = settle(back.groupBy("case_id", "account", "id").agg(F.min("leaves").alias("closed_at")))
+        found.append(closed.select("case_id", "account", "id", F.lit(length).alias("length"), "closed_at"))
+        if length == most:
+            break
+        onward = there.join(closed.select("case_id", "id"), ["case_id", "id"], "left_anti").join(by_time, ["case_id", "place", "bucket"])
+        reached = (onward.filter(later & (F.col("next") != F.col("account"))).groupBy(*start, F.col("next").alias("place"))
+                   .agg(F.min("leaves").alias("arrives")))
+        known = seen.groupBy("case_id", "id", "place").agg(F.min("arrives").alias("earlier"))
+        front = settle(reached.join(known, ["case_id", "id", "place"], "left").filter("earlier is null or arrives < earlier")
+                       .select(*start, "place", "arrives"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 def call_paths(calls: DataFrame, most: int, within: int | None = None) -> DataFrame:
     """(case_id, id, length, prior_id): for every call and length up to ``most`` such that a chain of so many calls ends in
     it, each made by whom the one before reached, later and at most ``within`` seconds later; prior_id is the call before.

@@ -54,6 +54,23 @@ def test_call_paths_equal_all_chains_tried(spark):
         assert all(a[3] == b[2] and 0 < b[4] - a[4] <= 60 for a, b in zip(calls, calls[1:]))
 
 
+def test_returning_flows_equal_all_walks_tried(spark):
+    rows = transfers(4, 130, 9, 600)
+    expected = {}
+    for first in (r for r in rows if r[2] != r[3]):
+        front = {(first[3], first[4])}
+        for length in range(2, 6):
+            front = {(r[3], r[4]) for place, at in front for r in rows if r[0] == first[0] and r[2] == place != r[3] and at < r[4] <= first[4] + 90}
+            closed = [at for place, at in front if place == first[2]]
+            if closed:
+                expected[first[0], first[2], first[1]] = (length, min(closed))
+                break
+    found = W.returning_flows(spark.createDataFrame(rows, ROWS), 5, 90).collect()
+    assert {(r.case_id, r.account, r.id): (r.length, r.closed_at) for r in found} == expected and len(found) == len(expected)
+    assert {n for n, _ in expected.values()} >= {2, 3, 4}
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], ROWS)
     assert W.structuring(empty, 1, 1, 10).count() == W.coordinated(empty, 10).count() == W.call_paths(empty, 3).count() == 0
+    assert W.returning_flows(empty, 4, 10).count() == 0
