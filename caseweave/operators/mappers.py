@@ -40,14 +40,18 @@ def _carry(units: DataFrame, header: Column, grouped: bool) -> DataFrame:
     """Rows with ``header`` (this row's own, or NULL) and ``active``: the header in
     force, NULL where none applies.  ``header`` is struct(ok, …), orderable.
 
-    A unit that is not a row ends every table of its document: it becomes a
-    not-ok header of each group the document has.
+    A unit that is not a row ends every table of its document. It breaks only tables that have a header before it and no
+    such unit between, so there are no more breaks than headers, however many groups and such units a document has.
     """
     with_group = units.withColumn("table_group", table_group(units) if grouped else F.lit(""))
     rows = with_group.filter(F.col("kind") == "row").withColumn("header", header)
-    stops = units.filter(F.col("kind") != "row").select(*KEYS, "unit_index")
-    groups = rows.select(*KEYS, "table_group").distinct()
-    breaks = stops.join(groups, KEYS).withColumn("kind", F.lit("break"))
+    found = rows.filter("header is not null").select(*KEYS, "table_group", "unit_index")
+    stops = units.filter(F.col("kind") != "row").select(*KEYS, "unit_index", F.lit(True).alias("stop"))
+    # from the end of a document to its start, the greatest of the negated places is the nearest stop behind
+    backwards = found.unionByName(stops, allowMissingColumns=True).withColumn("back", -F.col("unit_index"))
+    nearest = running_max(backwards, KEYS, "back", {"nearest": F.when(F.col("stop"), F.col("back"))})
+    breaks = (nearest.filter("stop is null and nearest is not null").select(*KEYS, "table_group", (-F.col("nearest")).alias("unit_index"))
+              .distinct().withColumn("kind", F.lit("break")))
     events = rows.unionByName(breaks, allowMissingColumns=True)
     state = F.when(F.col("kind") == "break", F.struct(F.col("unit_index"), F.lit(None).cast(
         rows.schema["header"].dataType).alias("header"))).when(
