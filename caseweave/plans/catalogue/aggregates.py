@@ -191,7 +191,7 @@ def _(s):
     return W.reuse_target(docs).select("case_id", "sha256", "document_id")
 
 
-@query("w9_merge_ranges", """, r as (select l_orderkey k, l_linenumber * 10 s, l_linenumber * 10 + cast(l_quantity as bigint) % 30 e
+@query("w9_merge_ranges", """, r as (select distinct l_orderkey k, l_linenumber * 10 s, l_linenumber * 10 + cast(l_quantity as bigint) % 30 e
   from lineitem), m as (select *, max(e) over (partition by k order by s, e rows between unbounded preceding and 1 preceding) p from r),
 g as (select *, sum(case when p is null or s > p then 1 else 0 end) over (partition by k order by s, e
   rows unbounded preceding) i from m)

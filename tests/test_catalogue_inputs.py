@@ -4,6 +4,7 @@ import shutil
 
 import __spark_entry__ as entry
 from caseweave.plans.bindings import TABLES
+from compare import duck
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -17,3 +18,13 @@ def test_tables_of_several_files_arrive_as_originals(spark, tmp_path):
     assert len([f for f in os.listdir(tmp_path / "lineitem.parquet") if f.endswith(".parquet")]) == 3
     found = entry.queries()["r1_stream_originals"](spark, str(tmp_path)).collect()
     assert sorted((r["filename"], r["digested"]) for r in found) == sorted((f"{t}.parquet", True) for t in TABLES)
+
+
+def test_the_ranges_of_the_sql_do_not_hang_on_the_order_of_equal_rows():
+    sql = entry.oracle_sql()["w9_merge_ranges"]
+    found = set()
+    for threads in (1, 8):
+        con = duck("/root/testdata/sf0.1")
+        con.execute(f"set threads = {threads}")
+        found.add(tuple(con.execute(f'select count(*), sum(hash(l_orderkey, "start", "end")) from ({sql})').fetchone()))
+    assert len(found) == 1
