@@ -28,3 +28,13 @@ def test_the_ranges_of_the_sql_do_not_hang_on_the_order_of_equal_rows():
         con.execute(f"set threads = {threads}")
         found.add(tuple(con.execute(f'select count(*), sum(hash(l_orderkey, "start", "end")) from ({sql})').fetchone()))
     assert len(found) == 1
+
+
+def test_first_leads_follow_the_lines(spark, tmp_path):
+    """Without lines there is no trade, so no lead: the page is not made of customers' and suppliers' places alone."""
+    for t in ("region", "nation", "customer", "supplier", "orders", "lineitem"):
+        shutil.copy(f"{SMALL}/{t}.parquet", f"{tmp_path}/{t}.parquet")
+    os.remove(tmp_path / "lineitem.parquet")
+    spark.read.parquet(f"{SMALL}/lineitem.parquet").limit(0).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert entry.queries()["t3_first_leads"](spark, SMALL).count() == 12
+    assert entry.queries()["t3_first_leads"](spark, str(tmp_path)).count() == 0
