@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.identifiers import first_truthy
 from ..operators.aggregates import counts_by_type, neighbor_pairs
 from ..operators.filters import term_search
+from ..operators.iteration import settle
 from ..operators.leads import neighbor_names
 from ..operators.windows import top_k
 from .workspace import Workspace
@@ -32,7 +33,7 @@ def report_summary(ws: Workspace, k: int = 5) -> DataFrame:
 
 
 def report_connected(ws: Workspace, k: int = 8, neighbors: int = 4) -> DataFrame:
-    top = top_connected(ws, k)
+    top = settle(top_connected(ws, k), "top")  # k rows a case: a table so small meets the edges without moving them
     # only edges that touch a listed entity reach the neighbour ranking
     ids = top.select("case_id", "id")
     listed = neighbor_pairs(ws.edges, "seq").join(ids, ["case_id", "id"], "left_semi")

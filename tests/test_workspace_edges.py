@@ -29,3 +29,12 @@ def test_edges_whose_ends_stay_are_not_joined_again(spark):
     e, a, n = tables(spark, [("c", "1", "a", "b", "x")], [])
     plan = settle_edges(e, a, n)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_the_listed_entities_are_ranked_before_their_edges_are_read(spark):
+    from caseweave.plans.bindings import Source
+    from caseweave.plans.reports import report_connected
+    from caseweave.plans.workspace import case_workspace
+    s = Source(spark, "/root/testdata/sf0.001")
+    found = report_connected(case_workspace(s.entities(), s.edges(), s.documents()))
+    assert "connections" not in "".join(l for l in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in l)
