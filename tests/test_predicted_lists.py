@@ -10,9 +10,9 @@ def test_pairs_are_not_written_where_every_link_is_heavy(spark, monkeypatch):
         rows.append(table.count())
         return table
     monkeypatch.setattr(K, "settle", counted)
-    edges = spark.range(30 * 12).selectExpr("'K' case_id", "concat('c', id div 12) source", "concat('s', id * 7 % 40) target")
+    edges = spark.range(120 * 12).selectExpr("'K' case_id", "concat('c', id div 12) source", "concat('s', id * 7 % 40) target")
     found = K.predict_links(edges, 5).collect()
-    assert len(found) == 5 * 70 and max(rows) <= 2 * 30 * 12
+    assert len(found) == 5 * 160 and max(rows) <= 2 * 120 * 12
 
 
 def test_lists_in_pieces_give_the_same(spark, monkeypatch):
